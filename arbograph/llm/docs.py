@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbograph.llm.parse import extension, spread
-from arbograph.llm.php import PHP, K, Tokens, tokens
+from arbograph.sources.php import PHP, K, Tokens, tokens
 
 #: Fixed: words that say nothing about a function.
 FILLERS = frozenset("the a an this of for to from".split())

@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbograph.llm import js, php
-from arbograph.llm.gll import END, Grammar
+from arbograph.llm import js
+from arbograph.sources import php
+from arbograph.sources.gll import END, Grammar
 
 #: Fixed: the language of each extension.
 LANGUAGES = {"php": "php", "py": "python", "js": "javascript", "mjs": "javascript", "json": "json"}
