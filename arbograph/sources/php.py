@@ -43,7 +43,7 @@ For: Statement | ':' Statement* 'endfor' ';' ;
 Foreach: Statement | ':' Statement* 'endforeach' ';' ;
 Declare: Statement | ':' Statement* 'enddeclare' ';' ;
 DeclareItem: NAME '=' Expr ;
-Each: '&'? Expr ;
+Each: '&'? Expr | NestedList ;
 Switch: '{' ';'? Case* '}' | ':' ';'? Case* 'endswitch' ';' ;
 Case: 'case' Expr (':' | ';') Statement* | 'default' (':' | ';') Statement* ;
 StaticVar: VAR ('=' Expr)? ;
@@ -110,8 +110,9 @@ ArgRest: | ',' ArgList ;
 Arg: LABEL ':' Expr | '...' Expr? | Expr ;
 ArrayLit: '[' Items ']' | 'array' '(' Items ')' ;
 Items: Item? (',' Item?)* ;
-Item: Expr ('=>' ItemValue)? | '&' Expr | '...' Expr ;
-ItemValue: '&' Expr | Expr ;
+Item: Expr ('=>' ItemValue)? | NestedList | '&' Expr | '...' Expr ;
+ItemValue: '&' Expr | Expr | NestedList ;
+NestedList: 'list' '(' Items ')' ;
 Text: STRING | OPEN (INOPEN Expr INCLOSE)* CLOSE ;
 New: 'new' NewRef (Args Post* Assign?)? | 'new' Attributes? ClassMod* 'class' Args? ('extends' Name)? Implements? AnonymousBody Post* ;
 AnonymousBody!: '{' Member* '}' ;
