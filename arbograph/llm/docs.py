@@ -25,7 +25,7 @@ ENDINGS = frozenset(["", "s", "es", "d", "ed", "ing", "er", "ers", "e", "y", "ie
 #: Fixed: the words of descriptions that only ask for documentation or say that there is none.
 STUB_CORE = frozenset("doc docs docblock document documented documentation describe described description descriptions comment comments todo fixme tbd stub undocumented phpdoc".split())
 STUB_WORDS = STUB_CORE | FILLERS | frozenset(
-    "no not none nothing missing available provided given found exists exist needed needs need required still yet later soon please fill in out write written add added enter insert put goes go here there what does do is be are it its that should must will has have been method methods function functions class routine code by auto automatically generated generate placeholder empty be was pending xxx me my your text summary short long some something on at and or with come comes coming follow follows up".split()
+    "no not none nothing missing available provided given found exists exist needed needs need required still yet later soon please fill in out write written add added enter insert put goes go here there what does do is be are it its that should must will has have been method methods function functions class routine code by auto automatically generated generate placeholder empty be was pending xxx me my your text summary short long some something on at and or with come comes coming follow follows up proper properly".split()
 )
 _NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+|[^\W\d_a-zA-Z]+")
 

@@ -75,7 +75,7 @@ YieldRest: | SAMELINE Assign | SAMELINE '*' Assign ;
 Arrow: ('async' SAMELINE)? ArrowHead '=>' ArrowBody ;
 ArrowHead: ARROWNAME | ARROWOPEN Params ')' ;
 ArrowBody: BlockR | NOBRACE Assign ;
-Simple: Left LeftRest | Literal LiteralRest Conditional | Prefix Unary Conditional ;
+Simple: Left LeftRest | Literal LiteralRest Conditional | Prefix Unary Conditional | PRIVATE 'in' Unary Conditional ;
 LeftRest: '=' Assign | ASSIGN Assign | PostOp Conditional ;
 LiteralRest: (Suffix+ LiteralTail)? ;
 LiteralTail: | '=' Assign | ASSIGN Assign | SAMELINE UPDATE ;
