@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from arbograph.functions import naming
 from arbograph.operators import graph as G
-from arbograph.operators import score, traverse
+from arbograph.operators import extract, score, traverse
 from arbograph.operators.graph import Graph
-from arbograph.runtime import table
+from arbograph.runtime import scratch_path, stored, table
+from arbograph.sources import facts
+from arbograph.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -610,3 +612,40 @@ def dot_lines(g):
     from arbograph.sources import render
 
     return render.dot_edges(g.edges)
+
+
+# -- ingest and live refresh
+
+
+@query(raw=True)
+def extracted_nodes(spark, d):
+    return extract.extract(_facts(spark, d)).nodes.select("id", "type", "fqcn", "file", "line", "is_placeholder")
+
+
+@query(raw=True)
+def extracted_edges(spark, d):
+    return _edge(extract.extract(_facts(spark, d)).edges)
+
+
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    """The facts of the latest content of each PHP file, written once: every extractor reads them."""
+    latest = table(spark, d, "source_files").filter("content IS NOT NULL AND file LIKE '%.php'").groupBy("file").agg(F.max_by("content", F.struct("fetched_at", "file_id")).alias("content"))
+    return stored(facts.file_facts(latest), "facts")
+
+
+_NOW = "SELECT node_id, arg_max({'live': op = 'upsert', 'file': file, 'hash': content_hash}, (changed_at, seq)) AS v FROM node_feed WHERE node_id IS NOT NULL AND (op = 'delete' OR op = 'upsert' AND content_hash IS NOT NULL) GROUP BY 1"
+
+
+@query(f"SELECT node_id, v.file AS file, v.hash AS content_hash FROM ({_NOW}) WHERE v.live", raw=True)
+def current_state(spark, d):
+    return watch.current_state(table(spark, d, "node_feed"))
+
+
+@query(f"SELECT node_id, v.file AS file, v.hash AS content_hash FROM ({_NOW}) WHERE v.live", raw=True)
+def stream_incremental(spark, d):
+    """The same by the stream, which handles the feed's files as they come."""
+    feed, target = f"{d}/node_feed.parquet", scratch_path(spark, "watch")
+    # As a pattern, since the table may be one file or a folder.
+    run = watch.watch(spark, f"{d}/node_feed.parque[t]", spark.read.parquet(feed).schema, target, f"{target}-checkpoint")
+    run.awaitTermination()
+    return watch.watched_state(spark, target, run.lastProgress["batchId"])

@@ -23,11 +23,11 @@ Top: Statement | 'namespace' Namespace | 'use' UseItem (',' UseItem)* ';' | 'con
 Namespace!: AnyName ';' | AnyName? '{' NamespaceItem* '}' ;
 NamespaceItem: Statement | 'use' UseItem (',' UseItem)* ';' | 'const' Constant (',' Constant)* ';' ;
 AnyName: NAME | QNAME ;
-UseItem: UseKind? AnyName UseRest? ;
+UseItem!: UseKind? AnyName UseRest? ;
 UseKind: 'function' | 'const' ;
 UseRest: 'as' NAME | GROUP '{' GroupItem (',' GroupItem)* TrailComma '}' ;
 TrailComma: | TRAILCOMMA ;
-GroupItem: UseKind? AnyName ('as' NAME)? ;
+GroupItem!: UseKind? AnyName ('as' NAME)? ;
 Constant: Ident '=' Expr ;
 Block: '{' Statement* '}' ;
 Statement: Block | 'if' '(' Expr ')' If | 'while' '(' Expr ')' While | 'do' Statement 'while' '(' Expr ')' ';'
@@ -62,7 +62,7 @@ ModMember: PlainMember | Type? Property ;
 PlainMember: Method | 'const' ClassConst (',' Constant)* ';' ;
 ClassConst: Constant | Type Constant ;
 Method!: 'function' '&'? Ident '(' Params ')' Returns? (Block | ';') ;
-Property: VAR ('=' Expr)? (',' VAR ('=' Expr)?)* ';' | VAR ('=' Expr)? Hooks ;
+Property!: VAR ('=' Expr)? (',' VAR ('=' Expr)?)* ';' | VAR ('=' Expr)? Hooks ;
 Hooks: '{' Hook+ '}' ;
 Hook: Attributes HookRest | HookRest ;
 HookRest: 'final'? '&'? NAME ('(' Params ')')? (Block | '=>' Expr ';' | ';') ;
@@ -72,9 +72,9 @@ AdaptRef: Name '::' Ident | Ident ;
 Params: | Param ParamsRest ;
 ParamsRest: | ',' Params ;
 Param: Attributes ParamRest | ParamRest ;
-ParamRest: ParamMod* Type? '&'? '...'? VAR ('=' Expr)? Hooks? ;
+ParamRest!: ParamMod* Type? '&'? '...'? VAR ('=' Expr)? Hooks? ;
 ParamMod: 'public' | 'protected' | 'private' | 'readonly' | 'final' | SETMOD ;
-Returns: ':' Type ;
+Returns!: ':' Type ;
 Type: '?' TypeAtom | TypePart TypeRest ;
 TypeRest: | '|' TypePart TypeRest | '&' TypePart TypeRest ;
 TypePart: TypeAtom | '(' TypeAtom ('&' TypeAtom)+ ')' ;
@@ -82,7 +82,7 @@ TypeAtom: Name | 'array' | 'callable' | 'static' ;
 Name: NAME | QNAME ;
 Attributes: AttributeGroup+ ;
 AttributeGroup!: '#[' Attribute AttributeRest ']' ;
-Attribute: Name Args? ;
+Attribute!: Name Args? ;
 AttributeRest: | ',' | ',' Attribute AttributeRest ;
 Exprs: Expr (',' Expr)* ;
 Expr: Operand Rest* ;
@@ -114,11 +114,11 @@ Item: Expr ('=>' ItemValue)? | NestedList | '&' Expr | '...' Expr ;
 ItemValue: '&' Expr | Expr | NestedList ;
 NestedList: 'list' '(' Items ')' ;
 Text: STRING | OPEN (INOPEN Expr INCLOSE)* CLOSE ;
-New: 'new' NewRef (Args Post* Assign?)? | 'new' Attributes? ClassMod* 'class' Args? ('extends' Name)? Implements? AnonymousBody Post* ;
+New!: 'new' NewRef (Args Post* Assign?)? | 'new' Attributes? ClassMod* 'class' Args? ('extends' Name)? Implements? AnonymousBody Post* ;
 AnonymousBody!: '{' Member* '}' ;
 NewRef: Name ('::' SimpleVar NewPost*)? | 'static' ('::' SimpleVar NewPost*)? | SimpleVar NewPost* | '(' Expr ')' ;
 NewPost: '[' Expr? ']' | '->' PropName | '?->' PropName | '::' SimpleVar ;
-Closure: 'function' '&'? '(' Params ')' ('use' '(' Uses ')')? Returns? Block | 'fn' '&'? '(' Params ')' Returns? '=>' Expr ;
+Closure!: 'function' '&'? '(' Params ')' ('use' '(' Uses ')')? Returns? Block | 'fn' '&'? '(' Params ')' Returns? '=>' Expr ;
 Uses: | '&'? VAR UsesRest ;
 UsesRest: | ',' Uses ;
 Arms: | Arm ArmsRest ;
