@@ -60,10 +60,12 @@ def _contexts(t: Tokens, text: str, spans: list[tuple[str, int, int]]):
         return best
 
     def owner(i: int) -> str | None:
-        """The class around token i, None in an anonymous one or in none."""
+        """The class around token i, empty in an anonymous one, None in none."""
         around = max(((a, b, n) for a, b, n in bodies if a < i < b), default=None)
-        if not around or around[2] == "AnonymousBody":
+        if not around:
             return None
+        if around[2] == "AnonymousBody":
+            return ""
         k = next(k for k in range(around[0], around[1]) if kinds[k] in _CLASS_WORDS)
         return word(k + 1)
 
@@ -106,12 +108,10 @@ def functions(text: str) -> tuple[bool, list[Found]]:
         ns = namespace(a)
         if n == "Method":
             cls = owner(a)
-            if cls is None and ok:
-                continue
-            if cls is None:
+            if cls is None and not ok:
                 cls = _class_before(kinds, word, a)
-                if cls is None:
-                    continue
+            if not cls:
+                continue
             around = [m for m in members if m[0] <= a < m[1]]
             first = max(around)[0] if around else head(a)
             name = f"{cls}::{word(k)}"
