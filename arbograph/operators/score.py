@@ -93,11 +93,11 @@ def snippets(files: DataFrame, context: int = 5) -> DataFrame:
 
 
 def class_risk(graph: Graph) -> DataFrame:
-    """(id, risk, complexity): risk of each class by its name, parent, interfaces and traits; complexity by the same, 1 at most."""
+    """(id, risk, complexity): risk of each real class-like node by its name, parent, interfaces and traits; complexity by the same, 1 at most."""
     n = lambda t: F.count_if(F.col("type") == t)
     links = graph.edges.filter(F.col("type").isin("extends", "implements", "uses")).groupBy(F.col("source_id").alias("id")).agg(n("extends").alias("parents"), n("implements").alias("interfaces"), n("uses").alias("traits"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    found = graph.nodes.filter("type = 'class' AND NOT is_placeholder").join(links, "id", "left")
+    found = graph.nodes.filter(F.col("id").startswith("class:") & ~F.col("is_placeholder")).join(links, "id", "left")
     risk = naming.name_risk(naming.short_name(F.col("fqcn"))) + F.when(zero("parents") > 0, 0.05).otherwise(0.0) + F.when(zero("interfaces") > 2, 0.1).otherwise(0.0) + F.when(zero("traits") > 1, 0.05).otherwise(0.0)
     complexity = F.least(F.lit(1.0), F.round(F.lit(0.3) + 0.05 * zero("interfaces") + 0.05 * zero("traits") + F.when(zero("parents") > 0, 0.1).otherwise(0.0), 2))
     return found.select("id", F.round(F.least(F.lit(1.0), risk), 2).alias("risk"), complexity.alias("complexity"))

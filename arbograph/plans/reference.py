@@ -509,7 +509,7 @@ def context_pack(g, d):
 
 
 _CLASS = f""", l AS (SELECT source_id AS id, count(*) FILTER (type = 'extends') AS p, count(*) FILTER (type = 'implements') AS i, count(*) FILTER (type = 'uses') AS t FROM E WHERE type IN ('extends', 'implements', 'uses') GROUP BY 1),
- c AS (SELECT N.id, split_part(fqcn, chr(92), -1) AS s, coalesce(p, 0) AS p, coalesce(i, 0) AS i, coalesce(t, 0) AS t FROM N LEFT JOIN l USING (id) WHERE N.type = 'class' AND NOT is_placeholder),
+ c AS (SELECT N.id, split_part(fqcn, chr(92), -1) AS s, coalesce(p, 0) AS p, coalesce(i, 0) AS i, coalesce(t, 0) AS t FROM N LEFT JOIN l USING (id) WHERE starts_with(N.id, 'class:') AND NOT is_placeholder),
  cr AS (SELECT id, round(least(1.0, (CASE {" ".join(f"WHEN ends_with(s, '{k}') THEN {v}::DOUBLE" for k, v in naming.RISK_SUFFIX.items())} ELSE 0.0::DOUBLE END) + (CASE WHEN p > 0 THEN 0.05::DOUBLE ELSE 0 END) + (CASE WHEN i > 2 THEN 0.1::DOUBLE ELSE 0 END) + (CASE WHEN t > 1 THEN 0.05::DOUBLE ELSE 0 END)), 2) AS risk,
  least(1.0, round(0.3::DOUBLE + 0.05::DOUBLE * i + 0.05::DOUBLE * t + (CASE WHEN p > 0 THEN 0.1::DOUBLE ELSE 0 END), 2)) AS complexity FROM c)"""
 
