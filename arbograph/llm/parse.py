@@ -92,7 +92,7 @@ PARSERS = {"php": is_php, "python": is_python, "javascript": is_javascript, "jso
 #: Tokens that speak for a language; each counts once a hit.
 _SIGNS = {
     "php": re.compile(r"<\?(?:php|=)|\$[A-Za-z_]\w*|->|::|\bnamespace\b|\bfunction\b"),
-    "python": re.compile(r"(?m)^\s*(?:def|class|if|for|while|with|try|elif|else)\b[^{;]*:\s*(?:#.*)?$|^\s*(?:from\s+\S+\s+)?import\b|\bself\b|\bNone\b"),
+    "python": re.compile(r"(?m)^[ \t]*(?:def|class|if|for|while|with|try|elif|else)\b[^{;\n]*:[ \t]*(?:#.*)?$|^[ \t]*(?:from[ \t]+\S+[ \t]+)?import\b|\bself\b|\bNone\b"),
     "javascript": re.compile(r"\b(?:const|let|var|export|function|import)\b|=>|===|`"),
     "json": re.compile(r'"[^"\n]*"\s*:|\A\s*[\[{]'),
 }
