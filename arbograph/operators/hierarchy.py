@@ -3,8 +3,9 @@
 Hash splitters cut the forest into short walks. (1) Every node walks to its next splitter or root; the walks are
 composed by pointer jumping, so a walk of length g takes log2(g) joins. (2) The splitters alone, an eighth of the
 nodes, form the reduced pointer graph, solved the same way. (3) Results and paths are expanded to all nodes by one
-join. Nodes that never reach a splitter or root lie on or below a cycle without a splitter and are handled apart;
-cycles through splitters come out of the reduced graph. Each round is written to the shared folder.
+join. Nodes that never reach a splitter or root lie on or below a cycle without a splitter and are handled apart; a
+splitter among them ends the walks below it, as a root does, and gives them its cycle. Cycles through splitters come
+out of the reduced graph. Each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -70,17 +71,22 @@ def resolve(parent: DataFrame, paths: bool = False, split: int = SPLIT) -> DataF
     walk = parent.withColumnRenamed("parent", "ptr").join(heads, "ptr", "left").select("id", "ptr", F.lit(1).cast("long").alias("d"), F.col("id").alias("low"), path.alias("path"), F.coalesce(F.col("is_split"), F.lit(True)).alias("done"), F.col("is_split").isNull().alias("at_root"))
     roots = stored(walk.filter("at_root").select("ptr").distinct().withColumnRenamed("ptr", "id"), "roots")
     walk = _jump(stored(walk.drop("at_root"), "walks"), "walks")
-    ended = walk.filter("done").join(roots.select(F.col("id").alias("ptr"), F.lit(True).alias("at_root")), "ptr", "left").withColumn("at_root", F.coalesce("at_root", F.lit(False)))
+    apart = stored(_cycles(walk.filter("NOT done"), "splitterless").select("id", F.col("root").alias("cycle")), "apart")
+    # Walks end at roots, at splitters that go on in the reduced graph, and at splitters whose own walk never ends.
+    ends = roots.select(F.col("id").alias("ptr"), F.lit(True).alias("at_end"), F.lit(None).cast("string").alias("cycle")).unionByName(apart.filter(stop).select(F.col("id").alias("ptr"), F.lit(True).alias("at_end"), "cycle"))
+    ended = walk.filter("done").join(ends, "ptr", "left").withColumn("at_end", F.coalesce("at_end", F.lit(False)))
     ended = stored(ended, "walks")
-    small = ended.filter(stop).select("id", "ptr", "d", "low", "path", F.col("at_root").alias("done"))
+    root, known = F.coalesce("cycle", "ptr"), F.col("cycle").isNull()
+    small = ended.filter(stop).select("id", "ptr", "d", "low", "path", F.col("at_end").alias("done"))
     small = _jump(stored(small, "reduced"), "reduced")
     round_ = _cycles(small.filter("NOT done"), "reduced")
-    solved = small.filter("done").select(F.col("id").alias("ptr"), F.col("ptr").alias("root"), F.col("d").alias("rest"), F.col("path").alias("rest_path")).unionByName(round_.select(F.col("id").alias("ptr"), "root", F.lit(-1).cast("long").alias("rest"), F.lit(None).cast("array<string>").alias("rest_path")))
+    last = small.filter("done").join(ends.select("ptr", "cycle"), "ptr")
+    solved = last.select(F.col("id").alias("ptr"), root.alias("root"), F.when(known, F.col("d")).otherwise(-1).alias("rest"), F.when(known, F.col("path")).alias("rest_path")).unionByName(round_.select(F.col("id").alias("ptr"), "root", F.lit(-1).cast("long").alias("rest"), F.lit(None).cast("array<string>").alias("rest_path")))
     whole = F.concat("path", F.array("ptr")) if paths else F.lit(None).cast("array<string>")
     whole_ = F.concat("path", "rest_path", F.array("root")) if paths else F.lit(None).cast("array<string>")
-    straight = ended.filter("at_root").select("id", F.col("ptr").alias("root_id"), F.col("d").alias("depth"), whole.alias("path"))
-    through = ended.filter("NOT at_root").join(solved, "ptr").select("id", F.col("root").alias("root_id"), F.when(F.col("rest") < 0, -1).otherwise(F.col("d") + F.col("rest")).alias("depth"), F.when(F.col("rest") >= 0, whole_).alias("path"))
-    apart = _cycles(walk.filter("NOT done"), "splitterless").select("id", F.col("root").alias("root_id"), F.lit(-1).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("path"))
+    straight = ended.filter("at_end").select("id", root.alias("root_id"), F.when(known, F.col("d")).otherwise(-1).alias("depth"), F.when(known, whole).alias("path"))
+    through = ended.filter("NOT at_end").drop("cycle").join(solved, "ptr").select("id", F.col("root").alias("root_id"), F.when(F.col("rest") < 0, -1).otherwise(F.col("d") + F.col("rest")).alias("depth"), F.when(F.col("rest") >= 0, whole_).alias("path"))
+    apart = apart.select("id", F.col("cycle").alias("root_id"), F.lit(-1).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("path"))
     return straight.unionByName(through).unionByName(apart).select("id", "root_id", F.col("depth").cast("int").alias("depth"), "path")
 
 

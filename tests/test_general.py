@@ -147,6 +147,30 @@ def _walk(parent, n):
         yield m
 
 
+@pytest.mark.parametrize("split", [hierarchy.SPLIT, 2])
+def test_splitters_below_a_cycle_without_one(spark, split):
+    ids = [f"m{i}" for i in range(120)]
+    of = spark.createDataFrame([(i,) for i in ids], "id string").selectExpr("id", f"pmod(xxhash64(id, 17), {split}) = 0 AS s").collect()
+    some, no = iter([r.id for r in of if r.s]), iter([r.id for r in of if not r.s])
+    take = lambda kinds: [next(some) if k == "s" else next(no) for k in kinds]
+    loop, other = take("nn"), take("n")
+    # Below the loops, from the loop down: plain nodes, a splitter, two in a row, and a splitter after plain nodes.
+    chains = [(loop[0], take("snn")), (loop[1], take("nssnsn")), (loop[0], take("n")), (other[0], take("nsn"))]
+    tree = take("nsnsn")
+    links = [(loop[0], loop[1]), (loop[1], loop[0]), (other[0], other[0]), *zip(tree, tree[1:])]
+    for head, chain in chains:
+        links += zip(chain, [head, *chain])
+    edges = [(i, a, b, "extends", at(1)) for i, (a, b) in enumerate(links)]
+    parent, expected = brute_tree(edges)
+    df = spark.createDataFrame(edges, EDGES)
+    got = rows(hierarchy.resolve(hierarchy.parents(df), paths=True, split=split).selectExpr("id", "root_id", "depth", "array_join(reverse(path), ' ') AS path"))
+    assert len(got) == len(parent)
+    assert got == sorted((n, r, d, p and " ".join(p)) for n, (r, d, p) in expected.items())
+    if split == hierarchy.SPLIT:
+        assert rows(hierarchy.tree_nodes(df)) == [(n, r, d) for n, r, d, _ in got]
+        assert rows(hierarchy.cycles(df)) == sorted((expected[n][0], n) for n in loop + other)
+
+
 def test_hierarchy_of_nothing(spark):
     none = spark.createDataFrame([], EDGES)
     assert rows(hierarchy.tree_nodes(none)) == [] and rows(hierarchy.tree_paths(none)) == [] and rows(hierarchy.cycles(none)) == []
