@@ -19,7 +19,10 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Between something and a blank the pattern always splits, so longer texts are cut there; the ids are the same.
 LONG = 1 << 16
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+#: Fixed: what \s is in the pattern (White_Space of Unicode; Python's own has four more).
+_BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_SAFE = re.compile(rf"(?<={_BLANK.replace('[', '[^')})(?={_BLANK})")
+_ALL_BLANK = re.compile(rf"{_BLANK}+")
 
 
 @lru_cache(maxsize=4)
@@ -36,24 +39,46 @@ def encoder(path: str = RANKS):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def _blank_run(long: int) -> re.Pattern:
+    """A run of more than `long` blanks, tried at the first blank of a run only."""
+    return re.compile(rf"{_BLANK}(?<!{_BLANK}{_BLANK}){_BLANK}{{{long},}}")
+
+
 def pieces(text: str, long: int = LONG) -> Iterator[str]:
-    """A text in pieces of about `long` characters at most, cut where the splitting pattern cuts anyway."""
+    """A text in pieces cut where the splitting pattern cuts anyway, of about `long` characters where it cuts often enough.
+
+    Of a run of more than `long` blanks the pattern takes all but the last before something, or all at the end of the
+    text: these are a piece of their own. A piece of blanks alone is one to the pattern too.
+    """
     at = 0
-    while len(text) - at > long:
-        m = _SAFE.search(text, at + long)
+    for run in _blank_run(long).finditer(text):
+        yield from _between(text, at, run.start(), long)
+        at = run.end() - (run.end() < len(text))
+        yield text[run.start() : at]
+    yield from _between(text, at, len(text), long)
+
+
+def _between(text: str, at: int, end: int, long: int) -> Iterator[str]:
+    while end - at > long:
+        m = _SAFE.search(text, at + long, end)
         if not m:
             break
         yield text[at : m.start()]
         at = m.start()
-    yield text[at:]
+    if at < end:
+        yield text[at:end]
 
 
 def encode(text: str | None, path: str = RANKS, long: int = LONG) -> np.ndarray:
     """The ids of a text; none for null and empty."""
     if not text:
         return np.zeros(0, np.int32)
-    run = encoder(path).encode_ordinary
-    return np.asarray(run(text) if len(text) <= long else [i for p in pieces(text, long) for i in run(p)], np.int32)
+    run, single = encoder(path).encode_ordinary, encoder(path)._encode_single_piece
+    if len(text) <= long:
+        return np.asarray(run(text), np.int32)
+    # The regex engine of the tokenizer fails on a run of a million blanks; blanks alone don't need it.
+    return np.asarray([i for p in pieces(text, long) for i in (single if _ALL_BLANK.fullmatch(p) else run)(p)], np.int32)
 
 
 @lru_cache(maxsize=4)

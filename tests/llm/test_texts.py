@@ -22,6 +22,40 @@ def test_ids(spark):
     assert counts == {i: len(ids) for i, ids in got}
 
 
+@pytest.mark.parametrize("before,after", [("", ""), ("ab", ""), ("", "ab"), ("ab ", "cd e"), ("1", "!"), ("x", "\x1c\x1cy")])
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000", " \t"])
+def test_long_runs_of_blanks(before, after, blank):
+    plain = tokenize.encoder().encode_ordinary
+    for n in (1, 2, 3, 9, 40):
+        text = before + blank * n + after
+        for long in (1, 2, 3, 8):
+            assert "".join(tokenize.pieces(text, long)) == text
+            assert tokenize.encode(text, long=long).tolist() == plain(text)
+    # As long as the pattern's own engine bears it, the ids are the same.
+    text = before + blank * (300_000 // len(blank)) + after
+    assert tokenize.encode(text).tolist() == plain(text)
+
+
+def test_separators_are_no_blanks_to_the_pattern():
+    plain = tokenize.encoder().encode_ordinary
+    for text in ("!!\x1c\x1d" * 20 + " a\x1f b", "a" * 9 + "\x1e\x85\x1f" * 9):
+        for long in (1, 2, 5):
+            assert tokenize.encode(text, long=long).tolist() == plain(text)
+
+
+def test_millions_of_blanks(spark):
+    blanks = " " * 3_000_000
+    docs = [(1, blanks), (2, f"one {blanks}two"), (3, f"{blanks[:2_000_000]}\n"), (4, "one two")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert all(r.same for r in tokenize.round_trip(df).collect()) and tokenize.round_trip(df).count() == 4
+    counts = {r.doc_id: r.n_tokens for r in tokenize.token_counts(df).collect()}
+    got = {r.doc_id: r.ids for r in tokenize.token_ids(df).collect()}
+    assert counts == {i: len(ids) for i, ids in got.items()}
+    plain = tokenize.encoder().encode_ordinary
+    # The last blank before the word goes with the word; the others are a piece of their own.
+    assert got[2][0] == plain("one")[0] and got[2][-1] == plain(" two")[0] and got[4] == plain("one two")
+
+
 @pytest.mark.parametrize("long", [1, 5, 50])
 def test_pieces(long):
     plain = tokenize.encoder().encode_ordinary
