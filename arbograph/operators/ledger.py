@@ -161,47 +161,55 @@ def changes(feed: DataFrame, wave: list[tuple[int, int]], since: int | None, bef
 class IncrementalFeed:
     """Replays the ok runs over a feed, each exactly once, whatever failed in between.
 
-    Items are the runs. Pending ones are leased in waves of consecutive runs; a wave's rows go to
-    changes/<first>-<last> and its versions to state/<last>, both overwritten by a retry, then its items are done.
+    Items are waves of consecutive runs, named by the place of their first run, so that one wave at most is pending or
+    leased. A wave's rows go to changes/<place>-<first>-<last> and its versions to state/<place>-<first>-<last>, both
+    overwritten by a retry; then one exclusive mark, which names its runs and paths, makes all of them done at once.
     """
 
     def __init__(self, spark: SparkSession, root: str, wave: int = 24, lease_seconds: float = 3600, clock: Callable[[], float] = time.time):
         self.ledger, self.wave, self.spark, self.root = Ledger(spark, root, lease_seconds, clock), wave, spark, root.rstrip("/")
 
+    def _done(self) -> list[dict]:
+        """The notes of the done waves in their order: runs, changes, state."""
+        notes: list[dict] = []
+        at = 0
+        while self.ledger.state(item := f"wave-{at:08d}") == "done":
+            notes.append(json.loads(self.ledger.note(item)))
+            at += len(notes[-1]["runs"])
+        return notes
+
     def process(self, feed: DataFrame, runs: list[tuple[int, int]], owner: str = "worker", fail: Callable[[str], None] = lambda at: None) -> int:
         """Handles what is pending, in order; the number of runs handled. fail is called between the steps (tests make it raise)."""
-        name = {r: f"run-{i:08d}-{r}" for i, (r, _) in enumerate(runs)}
-        self.ledger.add(list(name.values()))
-        states = {r: self.ledger.state(name[r]) for r, _ in runs}
-        done = [r for r in runs if states[r[0]] == "done"]
-        todo = runs[len(done) :]
+        notes = self._done()
+        done = [tuple(r) for n in notes for r in n["runs"]]
+        if done != runs[: len(done)]:
+            raise ValueError(f"the {len(done)} runs that are done are no longer the first ones")
+        state = notes[-1]["state"] if notes else None
         handled = 0
-        for i in range(0, len(todo), self.wave):
-            part = todo[i : i + self.wave]
-            leases = [self.ledger.lease(name[r], owner) for r, _ in part]
-            if not all(leases):
-                for lease in filter(None, leases):
-                    self.ledger.release(lease)
+        for i in range(len(done), len(runs), self.wave):
+            part = runs[i : i + self.wave]
+            item = f"wave-{i:08d}"
+            self.ledger.add([item])
+            lease = self.ledger.lease(item, owner)
+            if lease is None:
                 return handled
-            last = done[-1] if done else None
-            before = self.spark.read.parquet(f"{self.root}/state/{last[0]}") if last else None
-            changed, after = changes(feed, part, last and last[1], before)
+            own = f"{i:08d}-{part[0][0]}-{part[-1][0]}"
+            note = {"runs": part, "changes": f"{self.root}/changes/{own}", "state": f"{self.root}/state/{own}"}
+            before = self.spark.read.parquet(state) if state else None
+            changed, after = changes(feed, part, runs[i - 1][1] if i else None, before)
             fail("leased")
-            changed.write.mode("overwrite").parquet(out := f"{self.root}/changes/{part[0][0]}-{part[-1][0]}")
+            changed.write.mode("overwrite").parquet(note["changes"])
             fail("changes written")
-            after.write.mode("overwrite").parquet(f"{self.root}/state/{part[-1][0]}")
+            after.write.mode("overwrite").parquet(note["state"])
             fail("state written")
-            for lease in leases:
-                self.ledger.check(lease)
-            for lease in leases:
-                self.ledger.finish(lease, out)
-            done += part
+            self.ledger.finish(lease, json.dumps(note))
+            state = note["state"]
             handled += len(part)
         return handled
 
     def result(self) -> DataFrame:
         """(run_id, node_id) of all done runs."""
-        paths = sorted({self.ledger.note(i) for i in self.ledger.items() if self.ledger.state(i) == "done"})
+        paths = [n["changes"] for n in self._done()]
         return self.spark.read.parquet(*paths) if paths else self.spark.createDataFrame([], "run_id long, node_id string")
 
 

@@ -243,6 +243,36 @@ def test_failures_neither_skip_nor_repeat(spark, tmp_path):
     assert rows(make().result()) == brute_changes(feed, runs)
 
 
+@pytest.mark.parametrize("marks,then", [(1, 3), (2, 3), (4, 2), (1, 50)])
+def test_death_at_a_done_mark(spark, tmp_path, marks, then):
+    """The driver dies after some mark, the next one uses waves of another size."""
+    feed, runs = feed_and_runs(7)
+    df, ok = spark.createDataFrame(feed, FEED), ledger.ok_runs(spark.createDataFrame(runs, RUNS))
+    now = [0.0]
+    make = lambda wave: ledger.IncrementalFeed(spark, str(tmp_path / "l"), wave=wave, lease_seconds=10, clock=lambda: now[0])
+    engine, left = make(3), [marks]
+    finish = engine.ledger.finish
+
+    def dying(*args):
+        finish(*args)
+        left[0] -= 1
+        if not left[0]:
+            raise RuntimeError("died")
+
+    engine.ledger.finish = dying
+    try:
+        engine.process(df, ok)
+    except RuntimeError:
+        now[0] += 11
+    half = rows(engine.result())
+    assert set(half) <= set(brute_changes(feed, runs)) and len(half) == len(set(half))
+    make(then).process(df, ok)
+    assert make(then).process(df, ok) == 0
+    assert rows(make(then).result()) == brute_changes(feed, runs)
+    with pytest.raises(ValueError):
+        make(then).process(df, ok[1:])
+
+
 def test_fencing(spark, tmp_path):
     now = [0.0]
     book = ledger.Ledger(spark, str(tmp_path / "book"), lease_seconds=10, clock=lambda: now[0])
