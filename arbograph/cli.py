@@ -14,16 +14,27 @@ from arbograph.operators.graph import Graph
 from arbograph.runtime import stored
 from arbograph.sources import facts, render, scan
 
+#: Rows of a Markdown table.
+SHOWN = 1000
+
 
 def _show(df: DataFrame, form: str) -> None:
-    """Prints a result: JSON lines, DOT edges or a Markdown table, of at most 1000 rows."""
+    """Prints a result: all rows as JSON lines or DOT edges, a partition at a time, or a Markdown table of SHOWN rows at most that says how many more there are."""
     if form == "ndjson":
-        lines = [r.line for r in render.ndjson(df, "row").limit(1000).collect()]
+        _stream(render.ndjson(df, "row"))
     elif form == "dot":
-        lines = ["digraph g {", *[r.line for r in render.dot_edges(df).limit(1000).collect()], "}"]
+        print("digraph g {")
+        _stream(render.dot_edges(df))
+        print("}")
     else:
-        lines = [render.markdown_table(df, 1000)]
-    print("\n".join(lines))
+        print(render.markdown_table(df, SHOWN))
+        if (left := df.count() - SHOWN) > 0:
+            print(f"\n{left} more rows are left out; --format ndjson gives all.")
+
+
+def _stream(lines: DataFrame) -> None:
+    for r in lines.toLocalIterator():
+        print(r.line)
 
 
 def build(spark: SparkSession, root: str, folder: str) -> Graph:

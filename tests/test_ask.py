@@ -1,5 +1,7 @@
 """Questions and the command line."""
 
+import json
+
 import pytest
 
 from arbograph import cli
@@ -63,6 +65,21 @@ def test_commands(spark, folder, args, capsys):
     assert capsys.readouterr().out.strip()
 
 
+def test_more_rows_than_a_table_shows(spark, capsys):
+    n = cli.SHOWN + 503
+    df = spark.range(n).selectExpr("concat('a', id) AS source_id", "'hub' AS target_id", "'calls' AS type").repartition(7)
+    cli._show(df, "ndjson")
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert {x["source_id"] for x in lines} == {f"a{i}" for i in range(n)} and len(lines) == n
+    cli._show(df, "dot")
+    out = capsys.readouterr().out.splitlines()
+    assert out[0] == "digraph g {" and out[-1] == "}" and len(set(out[1:-1])) == n == len(out) - 2
+    cli._show(df, "markdown")
+    assert "503 more rows are left out" in capsys.readouterr().out
+    cli._show(df.limit(cli.SHOWN), "markdown")
+    assert "left out" not in capsys.readouterr().out
+
+
 def test_generate(spark, tmp_path, capsys):
     (tmp_path / "t" / "src").mkdir(parents=True)
     (tmp_path / "t" / "src" / "A.php").write_text("<?php class A extends B {}")
