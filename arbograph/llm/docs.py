@@ -241,8 +241,9 @@ def found(files: DataFrame) -> DataFrame:
 def pairs(files: DataFrame, share: float = 0.005) -> DataFrame:
     """(file_id, fqcn, code, description, recovered, n_template): code-description pairs, those of broken files too.
 
-    Dropped are trivial descriptions, and those whose template makes up more than `share` of all described functions
-    (counted by the template's hash over the whole corpus, a share and so alike at every size).
+    Dropped are trivial descriptions, and those whose template repeats and makes up more than `share` of all described
+    functions (counted by the template's hash over the whole corpus); one that stands once is kept however few they are.
+    n_template is the number of functions with the pair's template.
     """
     from arbograph.runtime import hashed, stored
 
@@ -251,5 +252,6 @@ def pairs(files: DataFrame, share: float = 0.005) -> DataFrame:
     # Hash counts are grouped with map-side sums; only templates over the share, at most 1 / share of them, are broadcast.
     counts = rows.groupBy("t1", "t2").agg(F.count("*").alias("n_template"))
     total = rows.count()
-    often = F.broadcast(counts.filter(F.col("n_template") > share * total).select("t1", "t2"))
-    return rows.filter("NOT trivial").join(often, ["t1", "t2"], "left_anti").select("file_id", "fqcn", "code", "description", "recovered")
+    often = F.broadcast(counts.filter(F.col("n_template") > max(1, share * total)).select("t1", "t2"))
+    kept = rows.filter("NOT trivial").join(often, ["t1", "t2"], "left_anti")
+    return kept.join(counts, ["t1", "t2"]).select("file_id", "fqcn", "code", "description", "recovered", "n_template")

@@ -247,3 +247,13 @@ def test_found_and_pairs(spark):
     assert all(r.code.endswith(("}", ";")) and "function" in r.code for r in pairs)
     assert docs.pairs(df, share=0.1).count() == 0
     assert docs.found(df.limit(0)).collect() == []
+
+
+def test_pairs_of_a_few_functions(spark):
+    """A template that stands once is no repeated one, however few functions there are."""
+    said = ["Moves every open entry into the list of today", "Trims the stopping point before it is kept", "Counts what the buyers sent back", *["Walks the whole tree again"] * 3]
+    source = "<?php " + " ".join(f"/** {d}. */ function f{i}() {{}}" for i, d in enumerate(said))
+    df = spark.createDataFrame([(1, "a.php", source)], "file_id long, file string, content string")
+    assert sorted((r.fqcn, r.n_template) for r in docs.pairs(df).collect()) == [("f0", 1), ("f1", 1), ("f2", 1)]
+    assert sorted((r.fqcn, r.n_template) for r in docs.pairs(df, share=0.5).collect()) == [("f0", 1), ("f1", 1), ("f2", 1), ("f3", 3), ("f4", 3), ("f5", 3)]
+    assert docs.pairs(df.limit(0)).collect() == []
