@@ -2,10 +2,10 @@
 
 Rows are put in the order (key, counterpart, row) by a range shuffle whose last sort column is unique, so that
 neither a hot key nor a hot pair fills one partition. Each partition then numbers its rows and closes a state after
-every `chunk` rows: one state per key and chunk, with the edge states' first and last counterpart. Offsets are the
-prefix sums of the partitions' sizes. States of a key that crosses chunks are merged in chunk order; a counterpart
-that stands on both sides of a boundary is taken off once. No task ever holds more than its share of the rows,
-whatever the keys are.
+every `chunk` rows: one state per key and chunk, with the edge states' first and last counterpart. Chunks start anew in
+each partition. States of a key that crosses chunks are merged in the order (partition, offset in it), the same as
+that of global offsets; a counterpart that stands on both sides of a boundary is taken off once. No task ever holds
+more than its share of the rows, whatever the keys are.
 """
 
 from __future__ import annotations
