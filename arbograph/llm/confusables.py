@@ -25,11 +25,14 @@ LOOK_ALIKES = [
     ("АВЕКМНОРСТУХЅІЈԚԜҮӀ", "ABEKMHOPCTYXSIJQWYI"),  # Cyrillic, capital
     ("οανιρυγ", "oavipuy"),  # Greek, small
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),  # Greek, capital
+    ("\u03f2\u03f3\u03f9\u037f", "cjCJ"),  # Greek, variants
     ("օսհոցզ", "ouhngq"),  # Armenian
+    ("\u0555\u054d\u054f\u053c", "OUSL"),  # Armenian, capital
+    ("\u0251\u0261", "ag"),  # Latin, phonetic
     ("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEHJKLMPRSTVWZ"),  # Cherokee
     ("ⲟⲞⲤⲥⲢⲣ", "oOCcPp"),  # Coptic
     ("‐‑‒–−", "-----"),
-    ("‘’‛′", "''''"),
+    ("‘’‛′\u02bc", "'''''"),
     ("⁄∕", "//"),
     ("∶꞉։", ":::"),
     ("‚․∗ǃ∼", ",.*!~"),

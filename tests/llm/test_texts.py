@@ -118,6 +118,11 @@ def test_other(a, b):
     assert confusables.skeleton(a) != confusables.skeleton(b)
 
 
+@pytest.mark.parametrize("signs,shapes", [("\u0555\u054d\u054f\u053c", "OUSL"), ("\u03f2\u03f3\u03f9\u037f", "cjCJ"), ("\u0251\u0261", "ag"), ("\u02bc", "'")])
+def test_variants_and_capitals(signs, shapes):
+    assert [confusables.skeleton(c) for c in signs] == list(shapes)
+
+
 def test_look_alikes(spark):
     r = random.Random(9)
     base = ["copy", "сору", "ｃｏｐｙ", "co\u200bpy", "other", "оther", "Copy", None, "", " ", "\u200b", "\u00a0", "stock answer"]
