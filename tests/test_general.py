@@ -34,7 +34,7 @@ def random_edges(seed, n=600):
     return out + out[:30]
 
 
-@pytest.mark.parametrize("chunk,partitions", [(7, 5), (65536, 1), (1, 3)])
+@pytest.mark.parametrize("chunk,partitions", [(7, 5), (65536, 1), (1, 3), (64, 4)])
 def test_degrees(spark, chunk, partitions):
     edges = random_edges(chunk)
     expected = []
@@ -59,12 +59,15 @@ def test_degrees_of_one_pair_and_of_nothing(spark):
     assert rows(skew.key_degrees(none)) == [] and rows(skew.hot_keys(none)) == []
 
 
-def test_chunk_offsets(spark):
-    edges = spark.createDataFrame([(i, "a", f"b{i % 9}", "x", at(0)) for i in range(100)], EDGES)
-    states = skew.key_states(skew.side_rows(edges), 8, 4).cache()
-    offsets = skew.chunk_offsets(states).orderBy("part").collect()
-    assert sum(o.rows for o in offsets) == 200 and all(o.largest_state <= 8 for o in offsets)
-    assert [o.offset for o in offsets] == [sum(p.rows for p in offsets[:i]) for i in range(len(offsets))]
+def test_chunks_are_of_equal_size(spark):
+    edges = spark.createDataFrame([(i, "hot" if i % 3 else f"a{i}", f"b{i % 9}", "x", at(0)) for i in range(300)], EDGES).repartition(5)
+    numbered, total = skew.numbered(skew.counted(skew.side_rows(edges)), 4)
+    got = sorted((r["at"], r.n) for r in numbered.collect())
+    assert total == 300 and [a for a, _ in got] == [sum(n for _, n in got[:i]) for i in range(len(got))] and sum(n for _, n in got) == 600
+    for chunk in (1, 7, 64, 10_000):
+        sizes = {r.chunk: r.n for r in skew.chunk_states(numbered, chunk, 3).groupBy("chunk").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+        last = max(sizes)
+        assert sorted(sizes) == list(range(last + 1)) and all(n == chunk for c, n in sizes.items() if c < last) and sum(sizes.values()) == 600
 
 
 @pytest.mark.parametrize("seed", range(2))
