@@ -5,7 +5,8 @@ composed by pointer jumping, so a walk of length g takes log2(g) joins. (2) The
 nodes, form the reduced pointer graph, solved the same way. (3) Results and paths are expanded to all nodes by one
 join. Nodes that never reach a splitter or root lie on or below a cycle without a splitter and are handled apart; a
 splitter among them ends the walks below it, as a root does, and gives them its cycle. Cycles through splitters come
-out of the reduced graph. Each round is written to the shared folder.
+out of the reduced graph. Each round is written to the shared folder; walks that have ended are not written again. A node to which many point is
+joined apart (split_join).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbograph.runtime import is_id, stored
+from arbograph.runtime import is_id, split_join, stored, stored_with, union
 
 SPLIT = 8
 PARENT_TYPES = ("extends", "extends_module")
@@ -30,19 +31,25 @@ def parents(edges: DataFrame, types: tuple[str, ...] = PARENT_TYPES) -> DataFram
     return rows.groupBy(F.col("source_id").alias("id")).agg(F.max_by("target_id", F.struct("indexed_at", "edge_id", "target_id")).alias("parent"))
 
 
-def _jump(walk: DataFrame, label: str) -> DataFrame:
-    """walk(id, ptr, d, low, path, done): composes pointers until every walk that ends has ended. low is the least id passed, path the ids passed."""
-    left = None
-    while True:
-        open_ = walk.filter("NOT done")
-        n = open_.count()
+def jump(walk: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """The walks of walk(id, ptr, d, low, path, done) that end, composed to their end, and those that never do.
+
+    A walk is done if it ends at ptr; else ptr is the id of the walk that it goes on with. d is its length, low the least
+    id passed, path the ids passed. Each round joins the open walks with all and writes only what it moved.
+    """
+    walk, open_n = stored_with(walk, label, ~F.col("done"))
+    ended, open_ = [walk.filter("done")], walk.filter("NOT done")
+    while open_n:
+        ahead = union([*ended, open_]).select(F.col("id").alias("ptr"), F.col("ptr").alias("p"), F.col("d").alias("pd"), F.col("low").alias("pl"), F.col("path").alias("pp"), F.col("done").alias("pdone"))
+        moved = split_join(open_.drop("done"), ahead, "ptr").select("id", F.col("p").alias("ptr"), (F.col("d") + F.col("pd")).alias("d"), F.least("low", "pl").alias("low"), F.concat("path", "pp").alias("path"), F.col("pdone").alias("done"))
+        moved, left = stored_with(moved, label, ~F.col("done"))
+        open_ = moved.filter("NOT done")
         # Along an ending walk every shorter length occurs, so a round in which none ends means that the rest are cycles.
-        if n == 0 or n == left:
-            return walk
-        left = n
-        ahead = walk.select(F.col("id").alias("ptr"), F.col("ptr").alias("p"), F.col("d").alias("pd"), F.col("low").alias("pl"), F.col("path").alias("pp"), F.col("done").alias("pdone"))
-        moved = open_.drop("done").join(ahead, "ptr").select("id", F.col("p").alias("ptr"), (F.col("d") + F.col("pd")).alias("d"), F.least("low", "pl").alias("low"), F.concat("path", "pp").alias("path"), F.col("pdone").alias("done"))
-        walk = stored(walk.filter("done").unionByName(moved), label)
+        if left == open_n:
+            break
+        ended.append(moved.filter("done"))
+        open_n = left
+    return union(ended), open_
 
 
 def _cycles(walk: DataFrame, label: str) -> DataFrame:
@@ -65,31 +72,29 @@ def resolve(parent: DataFrame, paths: bool = False, split: int = SPLIT) -> DataF
     """
     parent = stored(parent.select("id", "parent"), "parents")
     stop = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(split)) == 0
-    empty = F.array().cast("array<string>")
-    path = F.array("id") if paths else empty
+    path = F.array("id") if paths else F.array().cast("array<string>")
     heads = parent.select(F.col("id").alias("ptr"), stop.alias("is_split"))
-    walk = parent.withColumnRenamed("parent", "ptr").join(heads, "ptr", "left").select("id", "ptr", F.lit(1).cast("long").alias("d"), F.col("id").alias("low"), path.alias("path"), F.coalesce(F.col("is_split"), F.lit(True)).alias("done"), F.col("is_split").isNull().alias("at_root"))
-    roots = stored(walk.filter("at_root").select("ptr").distinct().withColumnRenamed("ptr", "id"), "roots")
-    walk = _jump(stored(walk.drop("at_root"), "walks"), "walks")
-    apart = stored(_cycles(walk.filter("NOT done"), "splitterless").select("id", F.col("root").alias("cycle")), "apart")
+    walk = split_join(parent.withColumnRenamed("parent", "ptr"), heads, "ptr", "left")
+    # A walk ends at a splitter or at a node without a parent, a root; what ends at a root has `ptr` in no row's id.
+    walk = walk.select("id", "ptr", F.lit(1).cast("long").alias("d"), F.col("id").alias("low"), path.alias("path"), F.coalesce(F.col("is_split"), F.lit(True)).alias("done"))
+    ended, endless = jump(walk, "walks")
+    apart = stored(_cycles(endless, "splitterless").select("id", F.col("root").alias("cycle")), "apart")
     # Walks end at roots, at splitters that go on in the reduced graph, and at splitters whose own walk never ends.
-    ends = roots.select(F.col("id").alias("ptr"), F.lit(True).alias("at_end"), F.lit(None).cast("string").alias("cycle")).unionByName(apart.filter(stop).select(F.col("id").alias("ptr"), F.lit(True).alias("at_end"), "cycle"))
-    ended = walk.filter("done").join(ends, "ptr", "left").withColumn("at_end", F.coalesce("at_end", F.lit(False)))
-    ended = stored(ended, "walks")
+    roots = ended.select("ptr").distinct().join(parent.select(F.col("id").alias("ptr")), "ptr", "left_anti").withColumn("cycle", F.lit(None).cast("string"))
+    ends = stored(roots.unionByName(apart.filter(stop).select(F.col("id").alias("ptr"), "cycle")).withColumn("at_end", F.lit(True)), "ends")
+    ended = stored(split_join(ended, ends, "ptr", "left").withColumn("at_end", F.coalesce("at_end", F.lit(False))), "walks")
     root, known = F.coalesce("cycle", "ptr"), F.col("cycle").isNull()
-    small = ended.filter(stop).select("id", "ptr", "d", "low", "path", F.col("at_end").alias("done"))
-    small = _jump(stored(small, "reduced"), "reduced")
-    round_ = _cycles(small.filter("NOT done"), "reduced")
-    last = small.filter("done").join(ends.select("ptr", "cycle"), "ptr")
+    reduced, round_ = jump(ended.filter(stop).select("id", "ptr", "d", "low", "path", F.col("at_end").alias("done")), "reduced")
+    round_ = _cycles(round_, "reduced")
+    last = split_join(reduced, ends.select("ptr", "cycle"), "ptr")
     solved = last.select(F.col("id").alias("ptr"), root.alias("root"), F.when(known, F.col("d")).otherwise(-1).alias("rest"), F.when(known, F.col("path")).alias("rest_path")).unionByName(round_.select(F.col("id").alias("ptr"), "root", F.lit(-1).cast("long").alias("rest"), F.lit(None).cast("array<string>").alias("rest_path")))
     whole = F.concat("path", F.array("ptr")) if paths else F.lit(None).cast("array<string>")
     whole_ = F.concat("path", "rest_path", F.array("root")) if paths else F.lit(None).cast("array<string>")
     straight = ended.filter("at_end").select("id", root.alias("root_id"), F.when(known, F.col("d")).otherwise(-1).alias("depth"), F.when(known, whole).alias("path"))
-    through = ended.filter("NOT at_end").drop("cycle").join(solved, "ptr").select("id", F.col("root").alias("root_id"), F.when(F.col("rest") < 0, -1).otherwise(F.col("d") + F.col("rest")).alias("depth"), F.when(F.col("rest") >= 0, whole_).alias("path"))
+    through = split_join(ended.filter("NOT at_end").drop("cycle"), solved, "ptr").select("id", F.col("root").alias("root_id"), F.when(F.col("rest") < 0, -1).otherwise(F.col("d") + F.col("rest")).alias("depth"), F.when(F.col("rest") >= 0, whole_).alias("path"))
     apart = apart.select("id", F.col("cycle").alias("root_id"), F.lit(-1).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("path"))
     return straight.unionByName(through).unionByName(apart).select("id", "root_id", F.col("depth").cast("int").alias("depth"), "path")
 
-
 def tree_nodes(edges: DataFrame) -> DataFrame:
     """(node_id, root_id, depth) for each node with a parent; see resolve()."""
     return resolve(parents(edges)).select(F.col("id").alias("node_id"), "root_id", "depth")
