@@ -5,7 +5,9 @@ made by a range shuffle whose last column is unique. A running sum of open lives
 first id of a partition can depend on partitions before; its rows are settled by carries, one number per partition.
 A hot id is spread over as many partitions as it needs, on either side, and no life list is ever gathered.
 
-The fixpoint cascade then treats records that hang on an orphaned record as orphans too (`inherited`).
+The fixpoint cascade then treats records that hang on an orphaned record as orphans too (`inherited`), by semi-joins
+down the structural rows; chains of records with one parent are shortened by pointer jumping first, so that the number
+of rounds does not follow the depth of the chains.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbograph.runtime import hashed, is_id, stored, width
+from arbograph.operators.hierarchy import jump
+from arbograph.runtime import digest, hashed, is_id, split_join, stored, stored_with, union, width
 
 #: Edge types by which a record is a child of the record it names.
 STRUCTURAL = ("extends", "extends_module", "implements")
@@ -133,32 +136,58 @@ def orphans(graph_nodes: DataFrame, core_nodes: DataFrame, edges: DataFrame, ite
     return _named(found).select("ref_table", "row_id", "t")
 
 
-def cascade(graph_nodes: DataFrame, core_nodes: DataFrame, edges: DataFrame, items: DataFrame, structural: tuple[str, ...] = STRUCTURAL, max_rounds: int = 1000) -> DataFrame:
+def cascade(graph_nodes: DataFrame, core_nodes: DataFrame, edges: DataFrame, items: DataFrame, structural: tuple[str, ...] = STRUCTURAL, partitions: int | None = None) -> DataFrame:
     """(ref_table, row_id, kind, round, t): direct orphans (round 0) and inherited ones.
 
     An orphaned row of a structural type orphans the record that it belongs to (its source_id); every row that names
-    such a record is an inherited orphan, of the round after, and cascades in turn if it is structural. Rounds go on
-    until none is new (max_rounds is a guard, not a limit that cuts results: reaching it raises). Each round is a
-    semi-join of the references that are left; a row is reported once, in its first round.
+    such a record is an inherited orphan, of the round after, and cascades in turn if it is structural, until none is
+    new. A row is reported once, in its first round; repeated rows with one id and time are one.
     """
     refs = references(_ref_tables(edges, items))
-    direct = stored(missing_at(_all_nodes(graph_nodes, core_nodes), refs).distinct().withColumn("round", F.lit(0)), "cascade")
-    # The rounds need the structural rows only, so these are written once; all rows are joined at the end, once.
-    owners = stored(edges.filter(F.col("type").isin(*structural) & is_id(F.col("source_id")) & is_id(F.col("target_id"))).select(F.lit(0).cast("byte").alias("tab"), F.col("edge_id").cast("long").alias("row_id"), "source_id", "target_id"), "owners")
-    broken = stored(owners.join(direct, ["tab", "row_id"], "left_semi").select(F.col("source_id").alias("ref")).distinct().withColumn("round", F.lit(1)), "cascade")
-    known, fresh, number = broken, broken, 1
-    while not fresh.isEmpty():
-        if number >= max_rounds:
-            raise RuntimeError("the cascade did not end")
-        number += 1
-        step = owners.join(fresh.select(F.col("ref").alias("target_id")), "target_id", "left_semi").select(F.col("source_id").alias("ref")).distinct()
-        fresh = stored(step.join(known, "ref", "left_anti").withColumn("round", F.lit(number)), "cascade")
-        known = known.unionByName(fresh)
-        if number % 8 == 0:
-            known = stored(known, "cascade")
-    inherited = refs.join(known, "ref").join(direct, ["tab", "row_id"], "left_anti").groupBy("tab", "row_id", "t").agg(F.min("round").alias("round"))
-    both = direct.select("tab", "row_id", "round", "t").unionByName(inherited.select("tab", "row_id", "round", "t"))
-    return _named(both).select("ref_table", "row_id", F.when(F.col("round") == 0, "direct").otherwise("inherited").alias("kind"), "round", "t")
+    direct = stored(missing_at(_all_nodes(graph_nodes, core_nodes), refs, partitions).distinct(), "cascade")
+    own = edges.filter(F.col("type").isin(*structural) & is_id(F.col("source_id")) & is_id(F.col("target_id")))
+    own = stored(own.select(F.lit(0).cast("byte").alias("tab"), F.col("edge_id").cast("long").alias("row_id"), digest(F.col("source_id")).alias("id"), digest(F.col("target_id")).alias("parent")), "owners")
+    broken = own.join(direct.filter("tab = 0").select("row_id").distinct(), "row_id", "left_semi").select("id").distinct()
+    known = stored(rounds(own.select("id", "parent").distinct(), stored(broken, "broken")), "cascade")
+    named = split_join(refs.withColumn("id", digest(F.col("ref"))).drop("ref"), known, "id").drop("id")
+    inherited = named.join(direct, ["tab", "row_id"], "left_anti").groupBy("tab", "row_id", "t").agg(F.min("round").alias("round"))
+    out = lambda df, kind: _named(df).select("ref_table", "row_id", F.lit(kind).alias("kind"), F.col("round").cast("int").alias("round"), "t")
+    return out(direct.withColumn("round", F.lit(0)), "direct").unionByName(out(inherited, "inherited"))
+
+
+def rounds(links: DataFrame, broken: DataFrame) -> DataFrame:
+    """(id, round) of every record that hangs on a broken one: 1 for broken(id) themselves, else 1 more than the least of its parents in links(id, parent).
+
+    Records with one parent form chains, however long: pointer jumping takes each to the first record above that is
+    broken, has several parents, or has none. Only between the records with several parents, the semi-joins of the
+    fixpoint are iterated, with the lengths of the chains between them, as long as a round finds a shorter way.
+    """
+    links = stored(links, "links")
+    firsts = broken.select("id", F.lit(True).alias("broken"))
+    ways = links.groupBy("id").agg(F.count("*").alias("n"), F.min("parent").alias("parent")).join(firsts, "id", "left").filter("broken IS NULL")
+    ways = stored(ways.select("id", "n", "parent"), "ways")
+    chain = ways.filter("n = 1").select("id", F.col("parent").alias("ptr"))
+    goes_on = chain.select(F.col("id").alias("ptr"), F.lit(False).alias("done"))
+    none = F.array().cast("array<string>")
+    walk = split_join(chain, goes_on, "ptr", "left").select("id", "ptr", F.lit(1).cast("long").alias("d"), F.col("id").alias("low"), none.alias("path"), F.coalesce("done", F.lit(True)).alias("done"))
+    ended, endless = jump(walk, "chains")
+    ended = stored(ended.select("id", F.col("ptr").alias("top"), "d"), "chains")
+    # What hangs on an endless chain alone hangs on a cycle without a broken record.
+    several = links.join(ways.filter("n > 1").select("id"), "id", "left_semi").join(endless.select(F.col("id").alias("parent")), "parent", "left_anti")
+    over = split_join(several.withColumnRenamed("parent", "ptr"), ended.select(F.col("id").alias("ptr"), "top", "d"), "ptr", "left")
+    arcs = stored(over.select("id", F.coalesce("top", "ptr").alias("top"), (F.lit(1) + F.coalesce("d", F.lit(0))).alias("d")).groupBy("id", "top").agg(F.min("d").alias("d")), "arcs")
+    fresh, n = stored_with(broken.select("id", F.lit(1).cast("long").alias("round")), "fresh", F.lit(True))
+    found = [fresh]
+    while n:
+        step = split_join(arcs.withColumnRenamed("id", "child"), fresh.withColumnRenamed("id", "top"), "top").groupBy(F.col("child").alias("id")).agg(F.min(F.col("round") + F.col("d")).alias("round"))
+        before = union(found).groupBy("id").agg(F.min("round").alias("old"))
+        fresh, n = stored_with(step.join(before, "id", "left").filter("old IS NULL OR round < old").select("id", "round"), "fresh", F.lit(True))
+        found.append(fresh)
+        if len(found) > 8:
+            found = [stored(union(found).groupBy("id").agg(F.min("round").alias("round")), "found")]
+    tops = stored(union(found).groupBy("id").agg(F.min("round").alias("round")), "found")
+    below = split_join(ended, tops.withColumnRenamed("id", "top"), "top").select("id", (F.col("d") + F.col("round")).alias("round"))
+    return tops.unionByName(below)
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

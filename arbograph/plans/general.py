@@ -21,7 +21,7 @@ def _orphan_tables(spark: SparkSession, d: str) -> list[DataFrame]:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphans(*_orphan_tables(spark, d)).select("ref_table", "row_id")
+    return orphans.cascade(*_orphan_tables(spark, d)).filter("kind = 'direct'").select("ref_table", "row_id")
 
 
 def p2_cascade(spark: SparkSession, d: str) -> DataFrame:

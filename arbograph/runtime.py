@@ -89,7 +89,7 @@ def width(spark: SparkSession) -> int:
 
 def size_of(df: DataFrame) -> int:
     """The optimiser's bound on the bytes of df; of written tables it follows from the sizes of their files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def split_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", limit: int | None = None) -> DataFrame:

@@ -90,6 +90,7 @@ def test_orphans(spark, seed):
     tables = [spark.createDataFrame(nodes[:half], NODES), spark.createDataFrame(nodes[half:], NODES), spark.createDataFrame(edges, EDGES), spark.createDataFrame(items, ITEMS)]
     for partitions in (1, 7):
         assert rows(orphans.orphans(*tables, partitions=partitions).select("ref_table", "row_id")) == expected
+    assert rows(orphans.cascade(*tables).filter("kind = 'direct'").select("ref_table", "row_id")) == expected
 
 
 def test_cascade(spark):
@@ -104,6 +105,21 @@ def test_cascade(spark):
     assert rows(orphans.cascade(*empty)) == []
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_cascade_of_chains_cycles_and_several_parents(spark, seed):
+    """Rounds against a search in breadth: long chains, endless chains, records with several parents, hot parents."""
+    r = random.Random(seed)
+    links = {(f"c{i}", f"c{i + 1}") for i in range(150)} | {(f"loop{i}", f"loop{(i + 1) % 5}") for i in range(5)} | {("tail", "loop0"), ("both", "loop1"), ("both", "c40")}
+    links |= {(f"m{i}", r.choice(["c60", "hot", f"m{r.randrange(60)}"])) for i in range(60) for _ in range(r.choice([1, 1, 2, 3]))}
+    broken = {"c149", "c90", f"m{r.randrange(60)}", "gone"} | ({"hot"} if seed else set())
+    best = {b: 1 for b in broken}
+    edge = set(broken)
+    while edge:
+        edge = {c for c, p in links if p in edge and c not in best and not best.update({c: best[p] + 1})}
+    got = orphans.rounds(spark.createDataFrame(sorted(links), "id string, parent string"), spark.createDataFrame([(b,) for b in broken], "id string"))
+    assert rows(got) == sorted(best.items())
+
+
 def brute_tree(edges):
     best = {}
     for e in edges:
