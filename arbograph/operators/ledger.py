@@ -2,8 +2,9 @@
 
 An item is pending, leased or done. A lease is a file made exclusively, numbered with the item's next fencing token;
 after its expiry the item is pending again and the next lease has a higher token. Work is written to a path that the
-items alone determine, so a retry overwrites what a failed try left. Done is one more exclusive file, refused to any
-token but the highest: a writer that was overtaken can finish nothing.
+item and the token determine: a retry under one lease overwrites what a failed try left, and a writer that was overtaken
+can only write to its own path, which nobody reads. Done is one more exclusive file, refused to any token but the
+highest; it names the paths that count, so publishing them is one step.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arbograph.runtime import scratch_path
+from arbograph.runtime import delete, scratch_path
 
 
 class StaleLease(RuntimeError):
@@ -133,12 +134,12 @@ def _versions(feed: DataFrame) -> DataFrame:
 
 
 def changes(feed: DataFrame, wave: list[tuple[int, int]], since: int | None, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """For consecutive runs (id, cutoff): the nodes whose state each changed, and the nodes' versions after the last.
+    """For consecutive runs (id, cutoff): the nodes whose state each changed, and the latest versions of the nodes with new rows.
 
-    Only feed rows that arrived after `since` (the cutoff of the last done run) are read; before has the versions then.
-    A node's versions are folded to one per run before the running maximum, so a hot node costs a row per run.
+    Only feed rows that arrived after `since` (the cutoff of the last done run) are read; before(node_id, v) has the
+    versions then, several of a node if it was written several times. A node's versions are folded to one per run before
+    the running maximum, so a hot node costs a row per run.
     """
-    spark = feed.sparkSession
     cutoffs = F.array(*[F.lit(c).cast("long") for _, c in wave])
     ids = F.array(*[F.lit(r).cast("long") for r, _ in wave])
     new = _versions(feed)
@@ -146,31 +147,31 @@ def changes(feed: DataFrame, wave: list[tuple[int, int]], since: int | None, bef
         new = new.filter(F.col("arrived") > since)
     new = new.filter(F.col("arrived") <= wave[-1][1]).withColumn("step", F.size(F.filter(cutoffs, lambda c: c < F.col("arrived")))).groupBy("node_id", "step").agg(F.max("v").alias("v"))
     if before is not None:
-        new = new.unionByName(before.join(new.select("node_id").distinct(), "node_id", "left_semi").select("node_id", F.lit(-1).alias("step"), "v"))
+        new = new.unionByName(before.join(new.select("node_id").distinct(), "node_id", "left_semi").groupBy("node_id").agg(F.max("v").alias("v")).withColumn("step", F.lit(-1)))
     along = Window.partitionBy("node_id").orderBy("step")
     top = new.withColumn("v", F.max("v").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     old = F.lag("v").over(along)
     state = lambda v: F.when(v["live"], F.struct(v["file"].alias("file"), v["content_hash"].alias("content_hash")))
     found = top.withColumn("old", old).filter("step >= 0").filter(~state(F.col("v")).eqNullSafe(state(F.col("old"))))
     changed = found.select(F.element_at(ids, F.col("step") + 1).alias("run_id"), "node_id")
-    latest = new.groupBy("node_id").agg(F.max("v").alias("v"))
-    after = latest if before is None else latest.unionByName(before.join(latest.select("node_id"), "node_id", "left_anti"))
-    return changed, after
+    return changed, new.groupBy("node_id").agg(F.max("v").alias("v"))
 
 
 class IncrementalFeed:
     """Replays the ok runs over a feed, each exactly once, whatever failed in between.
 
     Items are waves of consecutive runs, named by the place of their first run, so that one wave at most is pending or
-    leased. A wave's rows go to changes/<place>-<first>-<last> and its versions to state/<place>-<first>-<last>, both
-    overwritten by a retry; then one exclusive mark, which names its runs and paths, makes all of them done at once.
+    leased. A wave's rows go to changes/<place>-<first>-<last>-<token>; the versions of the nodes that it touched go to
+    state/ under the same name, as a delta that lies over those before. One exclusive mark, which names the runs and all
+    paths that count, makes the whole wave done at once. Every `fold` deltas are folded to one, so that writing follows
+    the changes and reading has few folders. What was folded, or left by overtaken leases, is deleted afterwards.
     """
 
-    def __init__(self, spark: SparkSession, root: str, wave: int = 24, lease_seconds: float = 3600, clock: Callable[[], float] = time.time):
-        self.ledger, self.wave, self.spark, self.root = Ledger(spark, root, lease_seconds, clock), wave, spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, wave: int = 24, lease_seconds: float = 3600, clock: Callable[[], float] = time.time, fold: int = 8):
+        self.ledger, self.wave, self.spark, self.root, self.fold = Ledger(spark, root, lease_seconds, clock), wave, spark, root.rstrip("/"), fold
 
     def _done(self) -> list[dict]:
-        """The notes of the done waves in their order: runs, changes, state."""
+        """The notes of the done waves in their order: runs, changes, states."""
         notes: list[dict] = []
         at = 0
         while self.ledger.state(item := f"wave-{at:08d}") == "done":
@@ -184,7 +185,7 @@ class IncrementalFeed:
         done = [tuple(r) for n in notes for r in n["runs"]]
         if done != runs[: len(done)]:
             raise ValueError(f"the {len(done)} runs that are done are no longer the first ones")
-        state = notes[-1]["state"] if notes else None
+        states: list[str] = notes[-1]["states"] if notes else []
         handled = 0
         for i in range(len(done), len(runs), self.wave):
             part = runs[i : i + self.wave]
@@ -193,24 +194,30 @@ class IncrementalFeed:
             lease = self.ledger.lease(item, owner)
             if lease is None:
                 return handled
-            own = f"{i:08d}-{part[0][0]}-{part[-1][0]}"
-            note = {"runs": part, "changes": f"{self.root}/changes/{own}", "state": f"{self.root}/state/{own}"}
-            before = self.spark.read.parquet(state) if state else None
-            changed, after = changes(feed, part, runs[i - 1][1] if i else None, before)
+            name = lambda token: f"{i:08d}-{part[0][0]}-{part[-1][0]}-{token:08d}"  # noqa: B023, E731
+            own = name(lease.token)
+            before = self.spark.read.parquet(*states) if states else None
+            changed, latest = changes(feed, part, runs[i - 1][1] if i else None, before)
             fail("leased")
-            changed.write.mode("overwrite").parquet(note["changes"])
+            changed.write.mode("overwrite").parquet(f"{self.root}/changes/{own}")
             fail("changes written")
-            after.write.mode("overwrite").parquet(note["state"])
+            if before is not None and len(states) >= self.fold:
+                latest = latest.unionByName(before).groupBy("node_id").agg(F.max("v").alias("v"))
+                folded, states = states, []
+            else:
+                folded = []
+            latest.write.mode("overwrite").parquet(f"{self.root}/state/{own}")
             fail("state written")
-            self.ledger.finish(lease, json.dumps(note))
-            state = note["state"]
+            states = [*states, f"{self.root}/state/{own}"]
+            self.ledger.finish(lease, json.dumps({"runs": part, "changes": f"{self.root}/changes/{own}", "states": states}))
+            delete(self.spark, *folded, *[f"{self.root}/{kind}/{name(t)}" for t in range(1, lease.token) for kind in ("changes", "state")])
             handled += len(part)
         return handled
 
     def result(self) -> DataFrame:
         """(run_id, node_id) of all done runs."""
         paths = [n["changes"] for n in self._done()]
-        return self.spark.read.parquet(*paths) if paths else self.spark.createDataFrame([], "run_id long, node_id string")
+        return self.spark.read.schema("run_id long, node_id string").parquet(*paths) if paths else self.spark.createDataFrame([], "run_id long, node_id string")
 
 
 def changed_nodes(feed: DataFrame, runs: DataFrame) -> DataFrame:

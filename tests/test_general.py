@@ -226,10 +226,10 @@ def brute_changes(feed, runs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("wave", [1, 4, 50])
-def test_changed_nodes(spark, wave, tmp_path):
+@pytest.mark.parametrize("wave,fold", [(1, 3), (4, 1), (50, 8)])
+def test_changed_nodes(spark, wave, fold, tmp_path):
     feed, runs = feed_and_runs(wave)
-    engine = ledger.IncrementalFeed(spark, str(tmp_path / "l"), wave=wave)
+    engine = ledger.IncrementalFeed(spark, str(tmp_path / "l"), wave=wave, fold=fold)
     df = spark.createDataFrame(feed, FEED)
     engine.process(df, ledger.ok_runs(spark.createDataFrame(runs, RUNS)))
     assert rows(engine.result()) == brute_changes(feed, runs)
@@ -262,6 +262,26 @@ def test_failures_neither_skip_nor_repeat(spark, tmp_path):
     assert rows(make().result()) == brute_changes(feed, runs)
 
 
+@pytest.mark.parametrize("where", ["leased", "changes written", "state written"])
+def test_an_overtaken_writer_changes_nothing(spark, tmp_path, where):
+    """Its lease runs out, another writer finishes all, then it goes on with an older feed."""
+    feed, runs = feed_and_runs(7)
+    df, ok = spark.createDataFrame(feed, FEED), ledger.ok_runs(spark.createDataFrame(runs, RUNS))
+    now = [0.0]
+    make = lambda: ledger.IncrementalFeed(spark, str(tmp_path / "l"), wave=4, lease_seconds=10, clock=lambda: now[0])
+    expected = brute_changes(feed, runs)
+
+    def overtaken(step):
+        if step == where:
+            now[0] += 11
+            assert make().process(df, ok, owner="two") == len(ok)
+            assert rows(make().result()) == expected
+
+    with pytest.raises(Exception):
+        make().process(df.filter("seq < 20"), ok, owner="one", fail=overtaken)
+    assert rows(make().result()) == expected and make().process(df, ok) == 0
+
+
 @pytest.mark.parametrize("marks,then", [(1, 3), (2, 3), (4, 2), (1, 50)])
 def test_death_at_a_done_mark(spark, tmp_path, marks, then):
     """The driver dies after some mark, the next one uses waves of another size."""
