@@ -1,14 +1,18 @@
 """A mixture of sources by target shares of all tokens, with capped repeats, by subset-sum budget fitting.
 
 Documents are counted by source and exact token length. A source's budget is filled by whole passes first; what is
-left of it is fitted by a bounded knapsack over the lengths: even shares of every length, then, over a window of at
-most `window` tokens, a dynamic programme that finds the sum nearest to the budget from below. Which documents of a
-length are taken is decided by a seeded hash, through counts by hash bucket, so that a length that holds most rows is
-never sorted in one task.
+left of it is fitted by a bounded knapsack over the lengths, a dynamic programme over the sums. It runs over the whole
+budget, or first over a smaller part of it, with even shares of every length taken before: if it meets the budget
+exactly then no other choice is nearer, else the part is widened, up to the whole budget. Which documents of a length
+are taken is decided by a seeded hash, through counts by hash bucket, so that a length that holds most rows is never
+sorted in one task.
 """
 
 from __future__ import annotations
 
+from math import gcd
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,72 +21,99 @@ from arbograph.llm.tokenize import RANKS, token_counts
 from arbograph.runtime import stored
 
 BUCKETS = 4096
-WINDOW = 20_000
+#: Sums of the first programme, in units of the lengths' greatest common divisor; it is widened until it fits.
+FIRST = 1 << 16
+#: Sums of the widest programme (a word of memory each); a budget beyond it that is not met exactly is reported as short.
+MOST = 1 << 26
 
 
-def fit(lengths: list[int], counts: list[int], budget: int, window: int = WINDOW) -> list[int]:
-    """How many of each length to take so that their sum comes as near as it can to the budget, from below.
+def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
+    """How many of each length to take so that their sum comes as near as it can to the budget, from below: exact.
 
-    lengths ascend and differ; 0 <= taken <= counts. Exact if the budget is within the window; beyond it the even
-    shares are fixed first and the programme runs over the rest.
+    Sums are bits of an integer and counts are cut into parts of powers of two. Of each sum only the part that reached it
+    first is kept, by which the choice is read back: a part was added to a sum that earlier parts had reached.
     """
-    total = sum(a * b for a, b in zip(lengths, counts, strict=True))
-    if budget >= total:
-        return list(counts)
-    taken = [0] * len(lengths)
-    if budget > window:
-        part = budget - window // 2
-        taken = [c * part // total for c in counts]
-        left = budget - sum(a * b for a, b in zip(lengths, taken, strict=True))
-        for i in range(len(lengths) - 1, -1, -1):  # the even shares' remainders, the longest first
-            if left > window:
-                more = min(counts[i] - taken[i], (left - window) // lengths[i])
-                taken[i] += more
-                left -= more * lengths[i]
-        for i in range(len(lengths)):  # lengths above the window remain: the shortest that fit
-            if left > window:
-                more = min(counts[i] - taken[i], -(-(left - window) // lengths[i]), left // lengths[i])
-                taken[i] += more
-                left -= more * lengths[i]
-        budget = left
-    # Subset sums as bits of an integer; counts in binary parts. Each step keeps its sums so that the choice can be read back.
     parts: list[tuple[int, int]] = []
     for i, (a, c) in enumerate(zip(lengths, counts, strict=True)):
-        c = min(c - taken[i], budget // a)
+        c = min(c, budget // a)
         k = 1
         while c > 0:
             parts.append((i, min(k, c)))
             c -= min(k, c)
             k *= 2
     mask = (1 << (budget + 1)) - 1
-    sums, steps = 1, []
-    for i, k in parts:
-        steps.append(sums)
-        sums |= (sums << (lengths[i] * k)) & mask
+    sums, first = 1, np.full(budget + 1, -1, np.int32)
+    for number, (i, k) in enumerate(parts):
+        new = (sums << (lengths[i] * k)) & mask & ~sums
+        if not new:
+            continue
+        raw = np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8)
+        at = np.flatnonzero(raw)
+        hit = np.unpackbits(raw[at], bitorder="little").reshape(-1, 8)
+        row, bit = np.nonzero(hit)
+        first[at[row] * 8 + bit] = number
+        sums |= new
         if sums >> budget & 1:
             break
+    taken = [0] * len(lengths)
     at = sums.bit_length() - 1
-    for (i, k), before in zip(reversed(parts[: len(steps)]), reversed(steps), strict=True):
-        if not before >> at & 1:
-            at -= lengths[i] * k
-            taken[i] += k
+    while at:
+        i, k = parts[first[at]]
+        taken[i] += k
+        at -= lengths[i] * k
     return taken
 
 
-def _plan(total: int, window: int):
+def fit(lengths: list[int], counts: list[int], budget: int, first: int = FIRST, most: int = MOST) -> tuple[list[int], int]:
+    """How many of each length to take so that their sum comes as near as it can to the budget, from below; and the tokens it is short of it.
+
+    lengths ascend and differ; 0 <= taken <= counts. The programme runs over `first` sums, at least twice the longest
+    length, and over four times as many each time that it is short, until it covers the whole budget or `most` sums. A
+    result that is short of the budget only by what no sum of the lengths can be (the remainder by their greatest common
+    divisor) is exact, and so is one over the whole budget.
+    """
+    total = sum(a * b for a, b in zip(lengths, counts, strict=True))
+    if budget >= total:
+        return list(counts), budget - total
+    unit = gcd(*lengths)
+    rest, budget = budget % unit, budget // unit
+    sizes = [a // unit for a in lengths]
+    total //= unit
+    span = max(first, 2 * sizes[-1])
+    best: tuple[list[int], int] | None = None
+    while True:
+        # Even shares leave documents of every length open to the programme.
+        part = max(0, budget - span)
+        even = [c * part // total for c in counts]
+        left = budget - sum(a * b for a, b in zip(sizes, even, strict=True))
+        for i in range(len(sizes) - 1, -1, -1):  # what the rounding of the shares left, down to the span
+            if left > 2 * span:
+                more = min(counts[i] - even[i], (left - span) // sizes[i])
+                even[i] += more
+                left -= more * sizes[i]
+        more = knapsack(sizes, [c - e for c, e in zip(counts, even, strict=True)], left)
+        short = left - sum(a * b for a, b in zip(sizes, more, strict=True))
+        if best is None or short < best[1]:
+            best = [e + m for e, m in zip(even, more, strict=True)], short
+        if best[1] == 0 or part == 0 or span >= most:
+            return best[0], best[1] * unit + rest
+        span = min(span * 4, max(most, 2 * sizes[-1]))
+
+
+def _plan(total: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("n_tokens")
         lengths, counts = frame["n_tokens"].tolist(), frame["n"].tolist()
         own = sum(a * b for a, b in zip(lengths, counts, strict=True))
         budget, most = int(round(float(frame["target_share"].iloc[0]) * total)), int(frame["max_repeats"].iloc[0])
         passes = min(most, budget // own)
-        taken = fit(lengths, counts, budget - passes * own, window) if passes < most else [0] * len(lengths)
-        return pd.DataFrame({"source": frame["source"], "n_tokens": frame["n_tokens"], "passes": passes, "extra": taken})
+        taken, short = fit(lengths, counts, budget - passes * own) if passes < most else ([0] * len(lengths), budget - passes * own)
+        return pd.DataFrame({"source": frame["source"], "n_tokens": frame["n_tokens"], "passes": passes, "extra": taken, "budget": budget, "short": short})
 
     return run
 
 
-def mixture(docs: DataFrame, targets: DataFrame, seed: int = 1, total_tokens: int | None = None, path: str = RANKS, window: int = WINDOW) -> DataFrame:
+def mixture(docs: DataFrame, targets: DataFrame, seed: int = 1, total_tokens: int | None = None, path: str = RANKS) -> DataFrame:
     """(doc_id, source, n_tokens, uses): how often each document is used, for documents that are.
 
     The size is total_tokens, by default all tokens of the sources in targets; each source's budget is its share of it.
@@ -96,7 +127,7 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 1, total_tokens: in
     if total_tokens is None:
         total_tokens = counted.agg(F.sum("n_tokens")).first()[0] or 0
     # One row per source and length: as many as there are different lengths, whatever the number of documents.
-    plan = stored(by_length.join(F.broadcast(wanted), "source").groupBy("source").applyInPandas(_plan(total_tokens, window), "source string, n_tokens long, passes long, extra long"), "mix-plan")
+    plan = stored(by_length.join(F.broadcast(wanted), "source").groupBy("source").applyInPandas(_plan(total_tokens), "source string, n_tokens long, passes long, extra long, budget long, short long"), "mix-plan").drop("budget", "short")
     key = ["source", "n_tokens"]
     bucket = F.pmod(F.col("h"), F.lit(BUCKETS)).cast("int")
     buckets = counted.withColumn("bucket", bucket).groupBy(*key, "bucket").agg(F.count("*").alias("n"))

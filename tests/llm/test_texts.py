@@ -72,12 +72,28 @@ def test_fit_is_exact():
         lengths = sorted(r.sample(range(1, 12), r.randrange(1, 5)))
         counts = [r.randrange(4) for _ in lengths]
         budget = r.randrange(60)
-        taken = mix.fit(lengths, counts, budget)
+        taken, short = mix.fit(lengths, counts, budget)
+        assert short == budget - sum(a * b for a, b in zip(lengths, taken, strict=True))
         assert all(0 <= t <= c for t, c in zip(taken, counts, strict=True))
         best = max(s for x in itertools.product(*[range(c + 1) for c in counts]) if (s := sum(a * b for a, b in zip(lengths, x, strict=True))) <= budget)
         assert sum(a * b for a, b in zip(lengths, taken, strict=True)) == best
-        big = mix.fit(lengths, [c * 50 for c in counts], budget * 20, window=30)
-        assert sum(a * b for a, b in zip(lengths, big, strict=True)) <= budget * 20
+        # A programme that starts small and is widened ends as near as the one over the whole budget.
+        many, far = [c * 50 for c in counts], budget * 20
+        size = lambda x: sum(a * b for a, b in zip(lengths, x, strict=True))  # noqa: B023, E731
+        whole = size(mix.knapsack(lengths, many, min(far, size(many))))
+        big, short = mix.fit(lengths, many, far, first=8)
+        assert size(big) == far - short == whole and all(0 <= t <= c for t, c in zip(big, many, strict=True))
+
+
+@pytest.mark.parametrize("lengths,counts", [([100, 250, 25001], [100, 100, 60]), ([21000, 33000, 50000], [40, 30, 60]), ([7], [3000]), ([3, 50_021], [9, 40])])
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 0.77, 1.0])
+def test_fit_of_long_documents(lengths, counts, share):
+    size = lambda x: sum(a * b for a, b in zip(lengths, x, strict=True))
+    budget = round(share * size(counts))
+    exact = size(mix.knapsack(lengths, counts, budget))
+    for first in (1, 1000, mix.FIRST):
+        taken, short = mix.fit(lengths, counts, budget, first)
+        assert size(taken) == exact == budget - short and all(0 <= t <= c for t, c in zip(taken, counts, strict=True))
 
 
 def test_mixture(spark):
@@ -123,6 +139,34 @@ def test_variants_and_capitals(signs, shapes):
     assert [confusables.skeleton(c) for c in signs] == list(shapes)
 
 
+PROBES = {
+    "g": "\u0261\uff47", "c": "\u03f2\u1d04с", "B": "\ua4d0Β", "O": "\ua4f3О", "o": "\u1d0f\u03c3\u05e1", "v": "\u1d20\u0475ν", "w": "\u1d21\u0461ԝ", "z": "\u1d22", "i": "\u0131і", "a": "\u0251а",
+    "G": "\u050c\ua4d6", "l": "\u01c0\u0627ӏ", '"': "\u201c\u201d", "s": "\ua731ѕ", "3": "З", "אב": "\u2135\u2136",
+}
+
+
+@pytest.mark.parametrize("shape", PROBES)
+def test_shapes_of_many_scripts(shape):
+    if len(shape) == 1:
+        assert {confusables.skeleton(c) for c in PROBES[shape]} == {shape}
+    else:
+        assert confusables.skeleton(PROBES[shape]) == shape
+
+
+def test_copies_of_one_text_are_not_compared(spark):
+    """30,000 copies and one variant give 30,000 pairs; a join of all with all would have 4.5e8 candidates."""
+    n = 30_000
+    df = spark.range(n).selectExpr("id AS doc_id", "'copy of it' AS text").unionByName(spark.createDataFrame([(n, "сору of it")], "doc_id long, text string"))
+    got = confusables.look_alikes(df, block=100)
+    assert got.count() == n and got.filter(f"doc_id_a < {n} AND doc_id_b = {n}").count() == n
+    assert confusables.classes(df).filter("class_id = 0 AND n_variants = 2").count() == n + 1
+
+
+def test_several_texts_of_one_id(spark):
+    df = spark.createDataFrame([(1, "copy"), (1, "сopy"), (2, "coрy"), (2, "coрy"), (3, "copy")], "doc_id long, text string")
+    assert sorted(map(tuple, confusables.look_alikes(df).collect())) == [(1, 2), (1, 3), (2, 3)]
+
+
 def test_look_alikes(spark):
     r = random.Random(9)
     base = ["copy", "сору", "ｃｏｐｙ", "co\u200bpy", "other", "оther", "Copy", None, "", " ", "\u200b", "\u00a0", "stock answer"]
