@@ -1,8 +1,9 @@
 """Functions and methods of PHP files with the doc comments worth having.
 
 Valid functions come out of broken files too: what the recogniser completed before it failed stays, and it starts
-again at each later `function` with a name. Descriptions are reduced to templates (the words of the function's own
-name masked), counted by hash over the whole corpus.
+again at each later `function` with a name. Descriptions are reduced to templates, counted by hash over the whole
+corpus: what a text alone does not tell (does it only ask for documentation?) its repetition does, as a stub stands
+above functions of many names and a real description does not.
 """
 
 from __future__ import annotations
@@ -16,17 +17,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbograph.llm.parse import extension, spread
+from arbograph.runtime import digest, stored
 from arbograph.sources.php import PHP, K, Tokens, tokens
 
 #: Fixed: words that say nothing about a function.
 FILLERS = frozenset("the a an this of for to from".split())
 #: Fixed: endings apart from which two words are the same.
 ENDINGS = frozenset(["", "s", "es", "d", "ed", "ing", "er", "ers", "e", "y", "ies", "ied", "or", "ors", "ion", "ions", "ation"])
-#: Fixed: the words of descriptions that only ask for documentation or say that there is none.
-STUB_CORE = frozenset("doc docs docblock document documented documentation describe described description descriptions comment comments todo fixme tbd stub undocumented phpdoc".split())
-STUB_WORDS = STUB_CORE | FILLERS | frozenset(
-    "no not none nothing missing available provided given found exists exist needed needs need required still yet later soon please fill in out write written add added enter insert put goes go here there what does do is be are it its that should must will has have been method methods function functions class routine code by auto automatically generated generate placeholder empty be was pending xxx me my your text summary short long some something on at and or with come comes coming follow follows up proper properly".split()
+#: Words by which a description speaks of documentation, and not of what the function does.
+STUB_CORE = re.compile(r"(?:php)?docs?|doc(?:block|string|comment)s?|(?:un)?document(?:s|ed|ing|ation)?|descri(?:be[sd]?|bing|ptions?)|comment(?:s|ed|ing)?|(?:un)?explain(?:s|ed|ing)?|explanations?|todo|fixme|tbd|tba|xxx|stubs?|blank|placeholders?|boilerplate")
+#: Words that point at the comment itself, at what it lacks, or at a later time.
+STUB_MARKS = frozenset(
+    "this here above below yet still later soon please no not none nothing nobody noone without missing lacks lacking absent todo fixme tbd tba xxx pending needed needs need required follow follows unavailable undocumented unexplained uncommented forgotten stub stubs auto autogenerated generated sometime someday somebody someone eventually placeholder goes wanted awaiting until incomplete unfinished omitted blank empty".split()
 )
+#: Other words that stubs are made of.
+STUB_WORDS = STUB_MARKS | FILLERS | frozenset(
+    "available provided given found exists exist fill filled in out write writes written add added adds enter insert put go come comes coming to there what which does do did done is are it its that should must will shall would could can has have had been be was were method methods function functions routine code class by automatically generate as my your our we you i me text summary short long some something anything on at and or with up proper properly so far until now note one only just more information info details detail about purpose left leave intentionally deliberately supply supplied give provide author authors developer maintainer someone who how why when where time but".split()
+)
+#: Undecided texts are stubs if they stand above functions of so many different names.
+STUB_NAMES = 3
 _NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+|[^\W\d_a-zA-Z]+")
 
 
@@ -182,16 +191,34 @@ def name_words(name: str) -> list[str]:
     return [w.lower() for w in _NAME_WORD.findall(name)]
 
 
-def is_trivial(text: str, name: str) -> bool:
-    """Fewer than four words; or nothing but the words of the name; or a stub."""
+def is_trivial(text: str, name: str) -> bool | None:
+    """True for fewer than four words, nothing but the words of the name, or a stub; None if only the corpus can tell a stub.
+
+    A stub has a word of STUB_CORE that is none of the name's, consists of the words of stubs and has one that points at
+    the comment itself. Undecided is what has no such word (`Add a comment to the class` may be what a function does), and
+    what has one but up to half of other words.
+    """
     own = words(text)
     if len(own) < 4:
         return True
     parts = [p.lower() for w in own for p in re.findall(r"[^\W_]+", w)]
     named = name_words(name)
-    if all(p in FILLERS or any(_same(p, n) for n in named) for p in parts):
+    of_name = [any(_same(p, n) for n in named) for p in parts]
+    if all(p in FILLERS or o for p, o in zip(parts, of_name, strict=True)):
         return True
-    return any(p in STUB_CORE for p in parts) and all(p in STUB_WORDS for p in parts)
+    core = [bool(STUB_CORE.fullmatch(p)) for p in parts]
+    if not any(c and not o for c, o in zip(core, of_name, strict=True)):
+        return False
+    known = sum(c or p in STUB_WORDS for c, p in zip(core, parts, strict=True))
+    marked = any(p in STUB_MARKS for p in parts)
+    if known == len(parts):
+        return True if marked else None
+    return None if marked and 2 * known >= len(parts) else False
+
+
+def said(text: str) -> str:
+    """A description with case and signs gone: equal for copies of one stub."""
+    return " ".join(re.findall(r"[^\W_]+", text.lower()))
 
 
 def template(text: str, name: str) -> str:
@@ -200,7 +227,7 @@ def template(text: str, name: str) -> str:
     return " ".join("_" if any(_same(p, n) for n in named) else p for p in (x.lower() for x in re.findall(r"[^\W_]+", text)))
 
 
-_OUT = "file_id long, fqcn string, description string, code string, template string, trivial boolean, recovered boolean"
+_OUT = "file_id long, fqcn string, description string, code string, template string, said string, trivial boolean, recovered boolean"
 
 
 def _extract(with_code: bool):
@@ -213,7 +240,7 @@ def _extract(with_code: bool):
                     if f.doc is not None:
                         name = re.split(r"::|\\", f.fqcn)[-1]
                         d = description(f.doc)
-                        rows.append((file_id, f.fqcn, d, text[f.start : f.stop] if with_code else None, template(d, name), is_trivial(d, name), f.recovered))
+                        rows.append((file_id, f.fqcn, d, text[f.start : f.stop] if with_code else None, template(d, name), said(d), is_trivial(d, name), f.recovered))
             yield pa.RecordBatch.from_pylist([dict(zip(_FIELDS, r, strict=True)) for r in rows], schema=_SCHEMA)
 
     return run
@@ -224,34 +251,44 @@ _SCHEMA = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "boolean":
 
 
 def documented(files: DataFrame, with_code: bool = True) -> DataFrame:
-    """(file_id, fqcn, description, code, template, trivial, recovered) of every function with a doc comment in the .php rows of files.
+    """(file_id, fqcn, description, code, template, said, trivial, recovered) of every function with a doc comment in the .php rows of files.
 
     Null contents, files without functions and functions without a doc comment give no row; repeated rows are read each.
-    Methods of anonymous classes have no fqcn and give none.
+    Methods of anonymous classes have no fqcn and give none. trivial is null where only the corpus can tell.
     """
     rows = files.filter("content IS NOT NULL").filter(extension(F.coalesce("file", F.lit(""))) == "php").select(F.col("file_id").cast("long").alias("file_id"), "content")
     return spread(rows).mapInArrow(_extract(with_code), _OUT)
 
 
+def worth_having(rows: DataFrame, names: int = STUB_NAMES) -> DataFrame:
+    """The rows(fqcn, said, trivial, ...) that are not trivial; undecided ones are dropped if their text repeats above functions of `names` different names.
+
+    Texts are counted by hash over all rows, first each (text, name) once, so that a text with most rows is spread by
+    the names; only undecided rows are shuffled.
+    """
+    open_ = rows.filter("trivial IS NULL").withColumn("h", digest(F.col("said")))
+    name = F.lower(F.regexp_extract("fqcn", r"([^:\\\\]*)$", 1))
+    often = open_.select("h", name.alias("name")).distinct().groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= names).select("h")
+    return rows.filter("NOT trivial").unionByName(open_.join(often, "h", "left_anti").drop("h").select(*rows.columns))
+
+
 def found(files: DataFrame) -> DataFrame:
     """(file_id, fqcn) of the functions of valid files whose description is not trivial."""
-    return documented(files, False).filter("NOT trivial AND NOT recovered").select("file_id", "fqcn")
+    rows = stored(documented(files, False).filter("NOT recovered AND trivial IS NOT TRUE").select("file_id", "fqcn", F.when(F.col("trivial").isNull(), F.col("said")).alias("said"), "trivial"), "documented")
+    return worth_having(rows).select("file_id", "fqcn")
 
 
 def pairs(files: DataFrame, share: float = 0.005) -> DataFrame:
     """(file_id, fqcn, code, description, recovered, n_template): code-description pairs, those of broken files too.
 
-    Dropped are trivial descriptions, and those whose template repeats and makes up more than `share` of all described
-    functions (counted by the template's hash over the whole corpus); one that stands once is kept however few they are.
-    n_template is the number of functions with the pair's template.
+    Dropped are trivial descriptions, and those whose template (the words of the function's own name masked) repeats and
+    makes up more than `share` of all described functions, counted by the template's hash over the whole corpus; one that
+    stands once is kept however few they are. n_template is the number of functions with the pair's template.
     """
-    from arbograph.runtime import hashed, stored
-
-    h = hashed(F.col("template"))
-    rows = stored(documented(files).withColumns({"t1": h[0], "t2": h[1]}).drop("template"), "pairs")
+    rows = stored(documented(files).withColumn("t", digest(F.col("template"))).drop("template"), "pairs")
     # Hash counts are grouped with map-side sums; only templates over the share, at most 1 / share of them, are broadcast.
-    counts = rows.groupBy("t1", "t2").agg(F.count("*").alias("n_template"))
+    counts = rows.groupBy("t").agg(F.count("*").alias("n_template"))
     total = rows.count()
-    often = F.broadcast(counts.filter(F.col("n_template") > max(1, share * total)).select("t1", "t2"))
-    kept = rows.filter("NOT trivial").join(often, ["t1", "t2"], "left_anti")
-    return kept.join(counts, ["t1", "t2"]).select("file_id", "fqcn", "code", "description", "recovered", "n_template")
+    often = F.broadcast(counts.filter(F.col("n_template") > max(1, share * total)).select("t"))
+    kept = worth_having(rows).join(often, "t", "left_anti")
+    return kept.join(counts, "t").select("file_id", "fqcn", "code", "description", "recovered", "n_template")
