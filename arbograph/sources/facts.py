@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbograph.sources.php import PHP, K, Tokens, tokens
+from arbograph.sources.spans import Nesting, between
 
 SCHEMA = "file string, seq int, kind string, owner string, owner_kind string, name string, target string, args string, line int, end_line int, detail string"
 _FIELDS = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -40,6 +42,7 @@ class _File:
             self.spans.setdefault(n, []).append((a, b))
         self.namespaces = self.spans.get("Namespace", [])
         self.imports: list[tuple[int, str, str]] = []  # (token, alias, name)
+        self.names: dict[tuple[str, str], str] = {}  # of namespace and alias in small letters
         self._read_imports()
         self.lines = [m.end() for m in re.finditer(r"\r\n|\n|\r", text)]
 
@@ -47,16 +50,14 @@ class _File:
         return self.text[self.t.starts[i] : self.t.stops[i]]
 
     def line(self, i: int) -> int:
-        import bisect
-
-        return bisect.bisect_right(self.lines, self.t.starts[i]) + 1
+        return bisect_right(self.lines, self.t.starts[i]) + 1
 
     def namespace(self, i: int) -> str:
-        best = ""
-        for a, b in self.namespaces:
-            if a <= i and (self.t.kinds[b - 1] != K["}"] or i < b):
-                best = "" if self.t.kinds[a] == K["{"] else self.word(a)
-        return best
+        for k in range(bisect_left(self.namespaces, (i + 1,)) - 1, -1, -1):
+            a, b = self.namespaces[k]
+            if self.t.kinds[b - 1] != K["}"] or i < b:
+                return "" if self.t.kinds[a] == K["{"] else self.word(a)
+        return ""
 
     def _read_imports(self) -> None:
         kinds = self.t.kinds
@@ -65,8 +66,8 @@ class _File:
                 continue
             name = self.word(a).lstrip("\\")
             if a + 1 < b and kinds[a + 1] == K["GROUP"]:
-                for c, d in self.spans.get("GroupItem", []):
-                    if a < c < b and kinds[c] not in (K["function"], K["const"]):
+                for c, d in between(self.spans.get("GroupItem", []), a + 1, b):
+                    if kinds[c] not in (K["function"], K["const"]):
                         self._import(c, d, f"{name}\\{self.word(c)}")
             else:
                 self._import(a, b, name)
@@ -74,6 +75,7 @@ class _File:
     def _import(self, a: int, b: int, name: str) -> None:
         alias = self.word(b - 1) if b - a >= 3 and self.t.kinds[b - 2] == K["as"] else name.rpartition("\\")[2]
         self.imports.append((a, alias, name))
+        self.names.setdefault((self.namespace(a), alias.lower()), name)
 
     def resolve(self, name: str, i: int) -> str:
         """The full name of a class name at token i."""
@@ -83,9 +85,8 @@ class _File:
         head, _, rest = name.partition("\\")
         if head.lower() == "namespace":
             return f"{ns}\\{rest}" if ns else rest
-        for at, alias, full in self.imports:
-            if alias.lower() == head.lower() and self.namespace(at) == ns:
-                return f"{full}\\{rest}" if rest else full
+        if full := self.names.get((ns, head.lower())):
+            return f"{full}\\{rest}" if rest else full
         return f"{ns}\\{name}" if ns else name
 
     # -- constants in attributes
@@ -189,20 +190,20 @@ def facts(path: str, text: str) -> list[tuple]:
     for at, alias, full in f.imports:
         add("import", None, name=alias, target=full, a=at, detail=f.namespace(at))
 
-    def around(i: int):
-        """The innermost class at token i."""
-        return max(((a, b, n, k) for a, b, n, k in classes if a <= i < b), default=None)
+    around = Nesting(classes)  # the innermost class at a token
 
     def current(i: int):
         """The last named class entered before token i."""
-        return max(((a, n, k) for a, _, n, k in classes if a < i), default=None)
+        k = bisect_left(classes, (i,)) - 1
+        return (classes[k][0], *classes[k][2:]) if k >= 0 else None
 
-    hidden = [(a, b) for n in ("Closure", "AnonymousBody") for a, b in f.spans.get(n, [])]
+    hidden = Nesting([(a, b) for n in ("Closure", "AnonymousBody") for a, b in f.spans.get(n, [])])
     members = f.spans.get("MemberRest", [])
     properties = f.spans.get("Property", [])
+    methods = f.spans.get("Method", [])
     for a, b in members:
         owner = around(a)
-        if owner is None or any(c <= a < d for c, d in hidden):
+        if owner is None or hidden(a):
             continue
         if kinds[a] == K["use"]:
             for i in range(a + 1, b):
@@ -210,32 +211,31 @@ def facts(path: str, text: str) -> list[tuple]:
                     break
                 if kinds[i] in _NAMES:
                     add("rel", owner[2], owner[3], name="uses", target=f.resolve(f.word(i), i), a=i)
-        for c, d in properties:
-            if a < c < b:
-                i = a
-                while kinds[i] not in _NAMES and kinds[i] not in (K["?"], K["VAR"]):
-                    i += 1
-                add("prop", owner[2], owner[3], name=f.word(c)[1:], target=f.named_type(i, c), a=a, b=d - 1)
-    starts = sorted([(a, "class", n) for a, _, n, _k in classes] + [(a, "member", None) for a, _ in members] + [(a, "param", None) for a, _ in f.spans.get("ParamRest", [])] + [(a, "function", None) for a, _ in f.spans.get("Function", [])])
+        for c, d in between(properties, a + 1, b):
+            i = a
+            while kinds[i] not in _NAMES and kinds[i] not in (K["?"], K["VAR"]):
+                i += 1
+            add("prop", owner[2], owner[3], name=f.word(c)[1:], target=f.named_type(i, c), a=a, b=d - 1)
+    member_end = dict(members)
+    starts = sorted([(a, "class", n) for a, _, n, _k in classes] + [(a, "member", "") for a, _ in members] + [(a, "param", "") for a, _ in f.spans.get("ParamRest", [])] + [(a, "function", "") for a, _ in f.spans.get("Function", [])])
     ordinals: dict = {}
     for a, b in f.spans.get("Attribute", []):
-        place = next(((s, kind, n) for s, kind, n in starts if s >= b), None)
-        if place is None:
+        k = bisect_left(starts, (b,))
+        if k == len(starts):
             continue
-        s, kind, name = place
+        s, kind, name = starts[k]
         owner = around(s)
         cls = name or (owner[2] if owner else None)
         if cls is None:
             continue
         prop = None
         if kind == "member":
-            hit = next(((c, d) for c, d in properties if s < c), None)
-            end = next(d for c, d in members if c == s)
-            if hit and hit[0] < end:
-                kind, prop = "property", f.word(hit[0])[1:]
+            end = member_end[s]
+            if hit := between(properties, s + 1, end):
+                kind, prop = "property", f.word(hit[0][0])[1:]
             else:
-                m = next((c for c, d in f.spans.get("Method", []) if s <= c < end), None)
-                kind, prop = ("method", f.word(m + 1 + (kinds[m + 1] == K["&"]))) if m is not None else ("constant", None)
+                m = between(methods, s, end)
+                kind, prop = ("method", f.word(m[0][0] + 1 + (kinds[m[0][0] + 1] == K["&"]))) if m else ("constant", None)
         key = (cls, kind, prop)
         ordinals[key] = ordinals.get(key, -1) + 1
         add("attr", cls, kind, name=f.resolve(f.word(a), a), target=prop, args=f.arguments(a, b), a=a, detail=str(ordinals[key]))
@@ -259,10 +259,10 @@ def facts(path: str, text: str) -> list[tuple]:
             i += 1
         if target := f.named_type(i, var):
             add("param", owner[1], owner[2], name=f.word(var)[1:], target=target, a=a)
-    methods = f.spans.get("Method", [])
+    in_method, in_closure = Nesting(methods, True), Nesting(f.spans.get("Closure", []), True)
     for a, b in f.spans.get("Returns", []):
         owner = around(a)
-        if owner and any(c < a < d for c, d in methods) and not any(c < a < d for c, d in f.spans.get("Closure", [])) and (target := f.named_type(a + 1, b)):
+        if owner and in_method(a) and not in_closure(a) and (target := f.named_type(a + 1, b)):
             add("return", owner[2], owner[3], target=target, a=a)
     return rows
 
