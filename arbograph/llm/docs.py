@@ -9,6 +9,7 @@ above functions of many names and a real description does not.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from arbograph.llm.parse import extension, spread
 from arbograph.runtime import digest, stored
 from arbograph.sources.php import PHP, K, Tokens, tokens
+from arbograph.sources.spans import Nesting
 
 #: Fixed: words that say nothing about a function.
 FILLERS = frozenset("the a an this of for to from".split())
@@ -28,7 +30,7 @@ ENDINGS = frozenset(["", "s", "es", "d", "ed", "ing", "er", "ers", "e", "y", "ie
 STUB_CORE = re.compile(r"(?:php)?docs?|doc(?:block|string|comment)s?|(?:un)?document(?:s|ed|ing|ation)?|descri(?:be[sd]?|bing|ptions?)|comment(?:s|ed|ing)?|(?:un)?explain(?:s|ed|ing)?|explanations?|todo|fixme|tbd|tba|xxx|stubs?|blank|placeholders?|boilerplate")
 #: Words that point at the comment itself, at what it lacks, or at a later time.
 STUB_MARKS = frozenset(
-    "this here above below yet still later soon please no not none nothing nobody noone without missing lacks lacking absent todo fixme tbd tba xxx pending needed needs need required follow follows unavailable undocumented unexplained uncommented forgotten stub stubs auto autogenerated generated sometime someday somebody someone eventually placeholder goes wanted awaiting until incomplete unfinished omitted blank empty".split()
+    "this here above below yet still later soon please no not none nothing nobody noone without missing lacks lacking absent todo fixme tbd tba xxx pending needed needs need required follow follows unavailable undocumented unexplained uncommented forgotten auto autogenerated generated sometime someday somebody someone eventually goes wanted awaiting until incomplete unfinished omitted blank empty".split()
 )
 #: Other words that stubs are made of.
 STUB_WORDS = STUB_MARKS | FILLERS | frozenset(
@@ -56,21 +58,18 @@ def _contexts(t: Tokens, text: str, spans: list[tuple[str, int, int]]):
     kinds, starts, stops = t.kinds, t.starts, t.stops
     word = lambda i: text[starts[i] : stops[i]]
     namespaces = sorted((a, b) for n, a, b in spans if n == "Namespace")
-    bodies = [(a, b, n) for n, a, b in spans if n in ("Class", "AnonymousBody")]
+    bodies = Nesting([(a, b, n) for n, a, b in spans if n in ("Class", "AnonymousBody")], True)
 
     def namespace(i: int) -> str:
-        best = ""
-        for a, b in namespaces:
-            if a > i:
-                break
-            braces = kinds[b - 1] == K["}"]
-            if not braces or i < b:
-                best = "" if kinds[a] == K["{"] else word(a)
-        return best
+        for k in range(bisect_left(namespaces, (i + 1,)) - 1, -1, -1):
+            a, b = namespaces[k]
+            if kinds[b - 1] != K["}"] or i < b:
+                return "" if kinds[a] == K["{"] else word(a)
+        return ""
 
     def owner(i: int) -> str | None:
         """The class around token i, empty in an anonymous one, None in none."""
-        around = max(((a, b, n) for a, b, n in bodies if a < i < b), default=None)
+        around = bodies(i)
         if not around:
             return None
         if around[2] == "AnonymousBody":
@@ -91,15 +90,30 @@ def functions(text: str) -> tuple[bool, list[Found]]:
     word = lambda i: text[starts[i] : stops[i]]
     namespace, owner = _contexts(t, text, spans)
     groups = {b: a for n, a, b in spans if n == "AttributeGroup"}
-    members = sorted((a, b) for n, a, b in spans if n == "MemberRest")
+    members = Nesting([(a, b) for n, a, b in spans if n == "MemberRest"])
+    places = [i for i, _ in t.docs]
     out: list[Found] = []
 
     def doc(lower: int, at: int) -> str | None:
+        """The nearest doc comment from the attributes before `lower` on to `at`, none within an attribute."""
+        inside = []
         while lower in groups:
+            inside.append((groups[lower], lower))
             lower = groups[lower]
-        inside = [(a, b) for b, a in groups.items() if lower <= a < at]
-        near = [d for i, d in t.docs if lower <= i <= at and not any(a < i < b for a, b in inside)]
-        return near[-1] if near else None
+        for k in range(bisect_right(places, at) - 1, -1, -1):
+            i, d = t.docs[k]
+            if i < lower:
+                break
+            if not any(a < i < b for a, b in inside):
+                return d
+        return None
+
+    heads = [] if ok else [i for i in range(len(kinds) - 1) if kinds[i] in _CLASS_WORDS and kinds[i + 1] == K["NAME"] and (not i or kinds[i - 1] not in (K["::"], K["new"]))]
+
+    def class_before(at: int) -> str | None:
+        """The class whose head is the last before token `at` of a broken file."""
+        i = bisect_left(heads, at) - 1
+        return word(heads[i] + 1) if i >= 0 else None
 
     def head(at: int) -> int:
         """The first modifier before a function that was found again."""
@@ -118,25 +132,27 @@ def functions(text: str) -> tuple[bool, list[Found]]:
         if n == "Method":
             cls = owner(a)
             if cls is None and not ok:
-                cls = _class_before(kinds, word, a)
+                cls = class_before(a)
             if not cls:
                 continue
-            around = [m for m in members if m[0] <= a < m[1]]
-            first = max(around)[0] if around else head(a)
+            around = members(a)
+            first = around[0] if around else head(a)
             name = f"{cls}::{word(k)}"
         else:
             first, name = a, word(k)
         out.append(Found(f"{ns}\\{name}" if ns else name, doc(first, a), starts[first], stops[b - 1], not ok))
     if not ok:
-        at = got.furthest
+        at, whole = got.furthest, Nesting([(f.start, f.stop) for f in out])
+        named = [i for i, k in enumerate(kinds) if k == K["namespace"]]
         while at < len(kinds) - 1:
-            if kinds[at] == K["function"]:
+            if kinds[at] == K["function"] and not whole(starts[at]):
                 k = at + 1 + (kinds[at + 1] == K["&"])
                 if k < len(kinds) and kinds[k] != K["("]:
                     more = PHP.run(kinds, at, "Method")
-                    if more.ok and not any(f.start <= starts[at] < f.stop for f in out):
-                        cls = _class_before(kinds, word, at)
-                        ns = next((word(i + 1) for i in range(at, -1, -1) if kinds[i] == K["namespace"]), "")
+                    if more.ok:
+                        cls = class_before(at)
+                        i = bisect_right(named, at) - 1
+                        ns = word(named[i] + 1) if i >= 0 else ""
                         name = f"{cls}::{word(k)}" if cls else word(k)
                         groups |= {b: a for n, a, b in more.spans if n == "AttributeGroup"}
                         out.append(Found(f"{ns}\\{name}" if ns else name, doc(head(at), at), starts[head(at)], stops[more.end - 1], True))
@@ -146,13 +162,6 @@ def functions(text: str) -> tuple[bool, list[Found]]:
     return ok, out
 
 
-def _class_before(kinds: list[int], word, at: int) -> str | None:
-    for i in range(at - 1, 0, -1):
-        if kinds[i] in _CLASS_WORDS and kinds[i + 1] == K["NAME"] and kinds[i - 1] not in (K["::"], K["new"]):
-            return word(i + 1)
-    return None
-
-
 def description(doc: str) -> str:
     """The text before the first line starting with @, without comment marks, {@...} and HTML tags, on one line."""
     lines = []

@@ -213,6 +213,15 @@ def test_functions_of_broken_files():
     assert {"A\\B\\C::moveAll", "A\\B\\C::third", "A\\B\\run_plain"} & {f.fqcn for f in found} >= {"A\\B\\C::moveAll", "A\\B\\C::third"}
 
 
+def test_long_broken_files():
+    """The class stands first in the file; what is whole comes out before and after the damage, in linear time."""
+    body = "".join(f"/** Moves item {i} into the other list. */ #[Tag({i})] public function f{i}(Y $y): Z {{ return new Q{i}(); }}\n" for i in range(2000))
+    ok, found = docs.functions("<?php class A {" + body)
+    assert not ok and [f.fqcn for f in found] == [f"A::f{i}" for i in range(2000)] and all(f.doc for f in found)
+    ok, found = docs.functions("<?php class A {" + body.replace("Q200()", "<<<<<<< ours"))
+    assert not ok and [f.fqcn for f in found] == [f"A::f{i}" for i in range(2000) if i != 200]
+
+
 def test_namespaces_in_braces():
     _, found = docs.functions("<?php namespace X { function a() {} class K { function m() {} } } namespace { function b() {} interface I { function n(); } }")
     assert [f.fqcn for f in found] == ["X\\a", "X\\K::m", "b", "I::n"]
@@ -230,6 +239,10 @@ def test_namespaces_in_braces():
         ("Auto-generated stub, documentation still to be written", "f", True),
         ("Please fill in the description of this function", "f", True),
         ("Describes the stub of the order", "f", False),
+        ("Add a comment to the class", "f", None),
+        ("Add a comment to the class", "addComment", False),
+        ("Generate documentation for a class", "f", None),
+        ("Explanation to follow in a later release", "f", None),
         ("======= !!! ... ---- a", "f", True),
     ],
 )
@@ -237,6 +250,23 @@ def test_trivial(text, name, trivial):
     assert docs.is_trivial(text, name) == trivial
 
 
+def test_repeated_stubs(spark):
+    """An undecided text is a stub above functions of three names, in whatever files, and none above copies of one function."""
+    said = ["Explanation to follow in a later release"] * 3 + ["Add a comment to the class"] * 2
+    one = "<?php " + " ".join(f"/** {d}. */ function f{i}() {{}}" for i, d in enumerate(said))
+    other = "<?php class K { /** add a comment to the class */ function f3() {} /** Moves all the open entries. */ function g() {} }"
+    df = spark.createDataFrame([(1, "a.php", one), (2, "b.php", other), (3, "b.php", other)], "file_id long, file string, content string")
+    assert sorted(map(tuple, docs.found(df).collect())) == [(1, "f3"), (1, "f4"), (2, "K::f3"), (2, "K::g"), (3, "K::f3"), (3, "K::g")]
+    assert docs.found(df.filter("file_id = 1")).count() == 2 and docs.pairs(df, share=1.0).filter("fqcn LIKE 'f%'").count() == 2
+
+
+def test_stubs_and_descriptions_of_other_wordings():
+    """Wordings that the word lists were not made from; the README has the figures."""
+    stubs = ["Nobody has explained this one so far", "Left blank on purpose by author", "This method still needs a description", "No comment has been written for this function", "There is no documentation for this method", "Someone should document what this does", "TODO: explain what happens in this function", "Undocumented, see the code for now"]
+    real = ["Adds the comment of the user to the given post", "Removes every comment that no visitor has seen yet", "Creates a stub for the given interface", "Fills blank cells with the value of the row above", "Checks whether the document is missing a signature", "Counts the comments that were written this week", "Sends the comment to the moderators for review"]
+    assert all(docs.is_trivial(t, "f") is not False for t in stubs) and not any(docs.is_trivial(t, "f") for t in real)
+
+
 def test_found_and_pairs(spark):
     rows = [(1, "a.php", SOURCE), (2, "b.php", SOURCE[:-3]), (3, "c.py", SOURCE), (4, "d.php", None), (5, "e.php", ""), (6, "f.PHP", SOURCE)]
     df = spark.createDataFrame(rows, "file_id long, file string, content string").selectExpr("*", "1 AS fqcn", "2 AS code")
