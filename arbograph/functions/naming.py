@@ -18,23 +18,43 @@ IGNORED = ("vendor/", "var/", "node_modules/", ".git/", "tests/fixtures/", "*.ge
 RISK_SUFFIX = {"Service": 0.15, "Handler": 0.1, "Manager": 0.1, "Facade": 0.2, "Kernel": 0.25}
 #: Fixed: domains and the words that point to them, in the order in which they are tried.
 DOMAIN_WORDS = {
-    "Auth": "auth login register permission capability rbac",
-    "Billing": "billing invoice payment subscription pricing",
-    "Inventory": "inventory stock product warehouse sku",
-    "Ordering": "order cart checkout fulfillment shipping",
-    "Notification": "notification email sms push alert",
-    "Media": "media image video upload storage asset",
-    "Search": "search index query filter facet",
-    "Analytics": "analytics metric report dashboard tracking",
-    "User": "user profile account preference avatar",
-    "Content": "content page article post cms block",
-    "Tenancy": "tenant organization workspace team",
-    "Workflow": "workflow process approval state transition",
-    "Scheduler": "schedule cron job task timer",
-    "Ledger": "ledger event propagat replay sequence",
-    "Cache": "cache redis ttl invalidat",
-    "Locale": "locale language translation i18n l10n",
+    "Auth": ("auth", "login", "register", "permission", "capability", "rbac"),
+    "Billing": ("billing", "invoice", "payment", "subscription", "pricing"),
+    "Inventory": ("inventory", "stock", "product", "warehouse", "sku"),
+    "Ordering": ("order", "cart", "checkout", "fulfillment", "shipping"),
+    "Notification": ("notification", "email", "sms", "push", "alert"),
+    "Media": ("media", "image", "video", "upload", "storage", "asset"),
+    "Search": ("search", "index", "query", "filter", "facet"),
+    "Analytics": ("analytics", "metric", "report", "dashboard", "tracking"),
+    "User": ("user", "profile", "account", "preference", "avatar"),
+    "Content": ("content", "page", "article", "post", "cms", "block"),
+    "Tenancy": ("tenant", "organization", "workspace", "team"),
+    "Workflow": ("workflow", "process", "approval", "state", "transition"),
+    "Scheduler": ("schedule", "cron", "job", "task", "timer"),
+    "Ledger": ("ledger", "event", "propagat", "replay", "sequence"),
+    "Cache": ("cache", "redis", "ttl", "invalidat"),
+    "Locale": ("locale", "language", "translation", "i18n", "l10n"),
 }
+#: Fixed: domains whose failure is critical.
+CRITICAL_DOMAINS = ("Auth", "Billing", "Ordering", "Tenancy", "Ledger")
+#: Fixed: words of a task that bring others with them, in the order in which they are tried.
+SYNONYMS = {
+    "payment": ("Payment", "Billing", "Checkout", "Stripe"),
+    "checkout": ("Checkout", "Order", "Cart", "Payment"),
+    "order": ("Order", "Checkout", "Fulfillment"),
+    "user": ("User", "Auth", "Profile", "Account"),
+    "auth": ("Auth", "Login", "Permission", "Capability"),
+    "product": ("Product", "Inventory", "Catalog"),
+    "inventory": ("Inventory", "Stock", "Product", "Warehouse"),
+    "notification": ("Notification", "Email", "Alert"),
+    "email": ("Email", "Notification", "Mail"),
+}
+#: Fixed: DOT colours of node types; others are grey.
+COLOURS = {
+    "payload": "#4CAF50", "handler": "#2196F3", "service": "#FF9800", "entity": "#9C27B0", "resource": "#00BCD4",
+    "event_listener": "#E91E63", "event": "#F44336", "command": "#795548", "component": "#607D8B",
+}
+GREY = "#9E9E9E"
 
 
 def short_name(fqcn: Column) -> Column:
@@ -76,6 +96,12 @@ def domain_segment(namespace: Column) -> Column:
     return F.when(F.size(parts) > 0, F.lower(F.element_at(parts, -1))).otherwise("")
 
 
+def event_domain(fqcn: Column) -> Column:
+    """The domain of an event's class: the last segment of its namespace that names one, else its short name without Event or Payload, small."""
+    segment = domain_segment(F.regexp_replace(fqcn, r"\\?[^\\]*$", ""))
+    return F.when(segment != "", segment).otherwise(F.lower(F.regexp_replace(short_name(fqcn), "(Event|Payload)$", "")))
+
+
 def flow_name(fqcn: Column) -> Column:
     """The short name without Payload, Request or Command at its end, with Flow."""
     return F.concat(F.regexp_replace(short_name(fqcn), "(Payload|Request|Command)$", ""), F.lit("Flow"))
@@ -93,10 +119,12 @@ def token_estimate(text: Column) -> Column:
 
 
 def infer_domain(module: Column) -> Column:
-    """The first domain of which a word stands in the module's name, else the name itself."""
+    """The domain that is a word of the module's name; else the first one of which a word stands in it; else the name, its words with capitals."""
     low = F.lower(module)
-    tried = [(d, reduce(lambda a, b: a | b, [low.contains(w) for w in words.split()])) for d, words in DOMAIN_WORDS.items()]
-    return F.coalesce(*[F.when(test, F.lit(d)) for d, test in tried], module)
+    named = F.filter(F.transform(F.split(low, "[-_ ]"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), lambda w: w.isin(*DOMAIN_WORDS))
+    tried = [F.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), F.lit(d)) for d, words in DOMAIN_WORDS.items()]
+    titled = F.array_join(F.transform(F.split(module, "[-_ ]"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
+    return F.coalesce(F.get(named, F.lit(0)), *tried, titled)
 
 
 def name_risk(name: Column) -> Column:
@@ -118,13 +146,28 @@ def is_ignored(path: Column, patterns: tuple[str, ...] = IGNORED) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
-def keywords(text: str, synonyms: dict[str, tuple[str, ...]] | None = None) -> list[str]:
+def keywords(text: str, synonyms: dict[str, tuple[str, ...]] = SYNONYMS) -> list[str]:
     """The words of three letters and more of a task, each also with a capital; synonyms are added in order, those that they bring in turn included."""
     out: list[str] = []
     for word in re.split(r"[\s\-_]+", text):
         if len(word) >= 3:
             out += [word, word.lower().capitalize()]
-    for trigger, more in (synonyms or {}).items():
+    for trigger, more in synonyms.items():
         if any(trigger in w.lower() for w in out):
             out += more
     return list(dict.fromkeys(out))
+
+
+def first_capital(text: Column) -> Column:
+    """The text with its first letter as a capital."""
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
+
+
+def date_text(epoch: Column) -> Column:
+    """Seconds since 1970 as yyyy-MM-dd HH:mm:ss in the session's zone; null stays null."""
+    return F.date_format(F.timestamp_seconds(epoch.cast("long")), "yyyy-MM-dd HH:mm:ss")
+
+
+def colour(type_: Column) -> Column:
+    """The DOT colour of a node type."""
+    return reduce(lambda c, kv: c.when(type_ == kv[0], kv[1]), COLOURS.items(), F.when(F.lit(False), "")).otherwise(GREY)

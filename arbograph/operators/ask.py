@@ -93,7 +93,7 @@ def intent(graph: Graph, id_: str) -> DataFrame:
 
 def capabilities(graph: Graph, kind: str | None = None, prefixes: dict[str, str] | None = None) -> DataFrame:
     """(name, kind, description, module): the commands of the graph, their kind by the name's prefix; filtered by kind, singular or plural."""
-    name = F.coalesce(F.get_json_object("metadata", "$.name"), F.get_json_object("metadata", "$['0']"), F.col("fqcn"))
+    name = F.coalesce(F.get_json_object("metadata", "$.commandName"), F.col("fqcn"))
     kinds = prefixes or {"make:": "generator", "describe:": "introspection", "logs:": "introspection", "deploy:": "operations", "graph:": "graph"}
     found = graph.of_type("command").select(name.alias("name"), F.coalesce(F.get_json_object("metadata", "$.description"), F.lit("")).alias("description"), "module")
     found = found.withColumn("kind", F.coalesce(*[F.when(F.col("name").startswith(p), F.lit(k)) for p, k in kinds.items()], F.lit("other")))

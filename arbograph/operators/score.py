@@ -68,6 +68,26 @@ def relevance(graph: Graph, impact: DataFrame) -> DataFrame:
     return found.select("id", "distance", (weight(F.col("type"), RELEVANCE, 3) / F.greatest(F.lit(1), F.col("distance"))).alias("score"))
 
 
+def edge_relevance(edges: DataFrame) -> DataFrame:
+    """The edges with the relevance of their type as `relevance`."""
+    return edges.withColumn("relevance", weight(F.col("type"), EDGE_RELEVANCE, 3))
+
+
+def impacted_modules(graph: Graph, impact: DataFrame, origin: str | None = None) -> DataFrame:
+    """(module, n) of reached()'s rows, most first; with an origin node, its own module is left out, as only others are crossed into."""
+    found = impact.select("id").join(graph.nodes.select("id", "module"), "id").filter("module != ''")
+    if origin is not None:
+        own = graph.node(origin).select("module")
+        found = found.join(own, "module", "left_anti")
+    return found.groupBy("module").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "module")
+
+
+def edge_breakdown(impact: DataFrame, vendor: str) -> DataFrame:
+    """(type, n, crossing): the discovering edges of reached()'s rows by type, and how many of them join different module keys."""
+    key = lambda c: naming.module_key(F.col(c), vendor)
+    return impact.groupBy(F.col("via_type").alias("type")).agg(F.count("*").alias("n"), F.count_if(key("via_source") != key("via_target")).alias("crossing"))
+
+
 def pack(ranked: DataFrame, nodes: int = 20, tokens: int = 8000) -> DataFrame:
     """(id, place, tokens_after) of the rows of ranked(id, score, distance, snippet) that fit: a prefix of the order (score down, distance, id).
 
@@ -92,21 +112,54 @@ def snippets(files: DataFrame, context: int = 5) -> DataFrame:
     return files.filter("content IS NOT NULL").select("id", F.when(last >= first, F.array_join(F.slice(lines, first, last - first + 1), "\n")).otherwise("").alias("snippet"))
 
 
+def risk_score(short: Column, parents: Column, interfaces: Column, traits: Column, attributes: Column) -> Column:
+    """A class's risk: by its name's ending, 0.05 for a parent, 0.1 for more than 2 interfaces, 0.05 for more than 1 trait, 0.1 for each attribute of a payload, handler or service; 1 at most."""
+    risk = naming.name_risk(short) + F.when(parents > 0, 0.05).otherwise(0.0) + F.when(interfaces > 2, 0.1).otherwise(0.0) + F.when(traits > 1, 0.05).otherwise(0.0)
+    return F.least(F.lit(1.0), risk + 0.1 * attributes)
+
+
+def complexity_score(parents: Column, interfaces: Column, traits: Column, props: Column) -> Column:
+    """0.3, and 0.05 for each interface and trait, 0.02 for each property and 0.1 for a parent; 1 at most."""
+    return F.least(F.lit(1.0), F.round(F.lit(0.3) + 0.05 * interfaces + 0.05 * traits + 0.02 * props + F.when(parents > 0, 0.1).otherwise(0.0), 2))
+
+
+#: Fixed: node types that an attribute of a payload, handler or service makes.
+RISKY_TYPES = ("payload", "handler", "service", "auth_handler", "slot_handler")
+#: Fixed: edge types that a property makes.
+PROPERTY_EDGES = ("injects_readonly", "injects_mutable", "injects_factory", "injects_config", "has_relation")
+
+
 def class_risk(graph: Graph) -> DataFrame:
-    """(id, risk, complexity): risk of each real class-like node by its name, parent, interfaces and traits; complexity by the same, 1 at most."""
-    n = lambda t: F.count_if(F.col("type") == t)
-    links = graph.edges.filter(F.col("type").isin("extends", "implements", "uses")).groupBy(F.col("source_id").alias("id")).agg(n("extends").alias("parents"), n("implements").alias("interfaces"), n("uses").alias("traits"))
+    """(id, risk, complexity) of each real class-like node, from the graph alone.
+
+    Attributes and properties leave nodes and edges: a node of RISKY_TYPES has one attribute that counts, each contract
+    of a service one more, and each edge of PROPERTY_EDGES is a property.
+    """
+    n = lambda *t: F.count_if(F.col("type").isin(*t))
+    contract = F.count_if((F.col("type") == "satisfies_contract") & (F.coalesce(F.get_json_object("metadata", "$.contractType"), F.lit("service")) == "service"))
+    links = graph.edges.filter(F.col("type").isin("extends", "implements", "uses", "satisfies_contract", *PROPERTY_EDGES)).groupBy(F.col("source_id").alias("id")).agg(n("extends").alias("parents"), n("implements").alias("interfaces"), n("uses").alias("traits"), contract.alias("contracts"), n(*PROPERTY_EDGES).alias("props"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     found = graph.nodes.filter(F.col("id").startswith("class:") & ~F.col("is_placeholder")).join(links, "id", "left")
-    risk = naming.name_risk(naming.short_name(F.col("fqcn"))) + F.when(zero("parents") > 0, 0.05).otherwise(0.0) + F.when(zero("interfaces") > 2, 0.1).otherwise(0.0) + F.when(zero("traits") > 1, 0.05).otherwise(0.0)
-    complexity = F.least(F.lit(1.0), F.round(F.lit(0.3) + 0.05 * zero("interfaces") + 0.05 * zero("traits") + F.when(zero("parents") > 0, 0.1).otherwise(0.0), 2))
-    return found.select("id", F.round(F.least(F.lit(1.0), risk), 2).alias("risk"), complexity.alias("complexity"))
+    marks = zero("contracts") + F.when(F.col("type").isin(*RISKY_TYPES), 1).otherwise(0)
+    risk = risk_score(naming.short_name(F.col("fqcn")), zero("parents"), zero("interfaces"), zero("traits"), marks)
+    return found.select("id", F.round(risk, 2).alias("risk"), complexity_score(zero("parents"), zero("interfaces"), zero("traits"), zero("props")).alias("complexity"))
+
+
+def stored_hotspots(graph: Graph, limit: int = 10) -> DataFrame:
+    """(id, node_id, module, risk, level, incoming_edges, cross_module_deps, is_critical_path, complexity, recommendation): the `limit` hotspot nodes of the highest risk; module is that of the node each is about."""
+    of = lambda key: F.get_json_object("metadata", f"$.{key}")
+    spots = graph.of_type("hotspot").select("id", of("target_node_id").alias("node_id"), of("risk_score").cast("double").alias("risk"), of("incoming_edges").cast("int").alias("incoming_edges"), of("cross_module_deps").cast("int").alias("cross_module_deps"), of("is_critical_path").cast("boolean").alias("is_critical_path"), of("complexity_score").cast("double").alias("complexity"), of("recommendation").alias("recommendation"))
+    top = spots.orderBy(F.desc("risk"), "id").limit(limit)
+    return top.join(graph.nodes.select(F.col("id").alias("node_id"), "module"), "node_id", "left").withColumn("level", risk_level(F.col("risk"))).select("id", "node_id", "module", "risk", "level", "incoming_edges", "cross_module_deps", "is_critical_path", "complexity", "recommendation")
+
+
+def risk_level(risk: Column) -> Column:
+    return F.when(risk >= 0.8, "CRITICAL").when(risk >= 0.6, "HIGH").when(risk >= 0.4, "MEDIUM").otherwise("LOW")
 
 
 def hotspots(risks: DataFrame, limit: int = 10) -> DataFrame:
     """(id, risk, level): the `limit` highest risks, at a tie by id."""
-    level = F.when(F.col("risk") >= 0.8, "CRITICAL").when(F.col("risk") >= 0.6, "HIGH").when(F.col("risk") >= 0.4, "MEDIUM").otherwise("LOW")
-    return risks.orderBy(F.desc("risk"), "id").limit(limit).select("id", "risk", level.alias("level"))
+    return risks.orderBy(F.desc("risk"), "id").limit(limit).select("id", "risk", risk_level(F.col("risk")).alias("level"))
 
 
 def doc_gaps(graph: Graph, api: str = "App\\Api\\", tokens: tuple[str, ...] = ("AsPayload", "AsPayloadHandler", "AsService")) -> DataFrame:

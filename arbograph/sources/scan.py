@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbograph.functions import naming
-from arbograph.operators.graph import diff_files
+from arbograph.operators.graph import EDGE, NODE, diff_files
+
+NODE_SCHEMA = "id string, fqcn string, name string, file string, line int, end_line int, module string, metadata string, is_placeholder boolean, type string"
+EDGE_SCHEMA = "source_id string, target_id string, metadata string, type string"
 
 
 def read_ignore_file(spark: SparkSession, path: str) -> tuple[str, ...]:
@@ -46,4 +49,6 @@ def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
 
 
 def read_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
+    """What write_graph() wrote, empty tables too."""
+    nodes, edges = spark.read.schema(NODE_SCHEMA).parquet(f"{folder}/nodes"), spark.read.schema(EDGE_SCHEMA).parquet(f"{folder}/edges")
+    return nodes.select(*NODE), edges.select(*EDGE)

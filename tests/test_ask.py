@@ -38,7 +38,7 @@ def test_understand(question, kind, subject):
 def folder(spark, tmp_path_factory):
     rows = [
         ("packages/acme-billing/src/P.php", "<?php namespace A; #[AsPublicPayload(path: '/p')] class PayPayload {} #[AsCommand(name: 'make:pay', description: 'Pays')] class PayCommand {}"),
-        ("packages/acme-billing/src/H.php", "<?php namespace A; #[AsPayloadHandler(payload: PayPayload::class)] class PayHandler { function f() { $this->bus->emit(new PaidEvent()); } } #[AsEvent] class PaidEvent {}"),
+        ("packages/acme-billing/src/H.php", "<?php namespace A; #[AsPayloadHandler(payload: PayPayload::class)] class PayHandler { function f() { $this->bus->emit(new PaidEvent()); } } #[AsEvent] #[Propagated] class PaidEvent {}"),
     ]
     g = extract.extract(stored(facts.file_facts(spark.createDataFrame(rows, "file string, content string")), "facts"))
     out = str(tmp_path_factory.mktemp("graph"))
@@ -54,7 +54,7 @@ def test_answers(spark, folder):
     assert ids("where is Pay processed") == {"class:A\\PayHandler"} and ids("what domain is A\\PayHandler") == {"class:A\\PayHandler"}
     assert ids("what flows exist in AcmeBilling") == {"flow:PayFlow"}
     assert ask.answer(g, "what happens when A\\PaidEvent is emitted").first().n_emitters == 1
-    assert ask.answer(g, "what nats subjects does A\\PaidEvent publish").first().target_id == "subject:events.a.paid_event"
+    assert ask.answer(g, "what nats subjects does A\\PaidEvent publish").first().target_id == "subject:app.events.{node}.a.paid"
     assert ask.answer(g, "what are hotspots").count() > 0 and ask.answer(g, "show docs for A\\PayHandler").count() == 0
     assert [tuple(r)[:3] for r in ask.capabilities(g, "generators").collect()] == [("make:pay", "generator", "Pays")] and ask.capabilities(g, "graph").count() == 0
 

@@ -139,6 +139,11 @@ def test_scalars(spark):
     assert value(naming.module_key(F.lit("class:Core\\Orm\\X"), "Core")) == "Orm" and value(naming.module_key(F.lit("App\\X"), "Core")) == "App"
     assert value(naming.token_estimate(F.lit("ééé"))) == 1
     assert value(naming.infer_domain(F.lit("WebCheckout"))) == "Ordering" and value(naming.infer_domain(F.lit("Zzz"))) == "Zzz"
+    assert value(naming.infer_domain(F.lit("login-media"))) == "Media" and value(naming.infer_domain(F.lit("my-zzz_kit"))) == "My Zzz Kit"
+    assert value(naming.event_domain(F.lit("App\\Domain\\Event\\OrderMadeEvent"))) == "app" and value(naming.event_domain(F.lit("Event\\OrderMadeEvent"))) == "ordermade"
+    assert value(naming.date_text(F.lit(86400))) == "1970-01-02 00:00:00" and value(naming.date_text(F.lit(None).cast("long"))) is None
+    assert value(naming.colour(F.lit("payload"))) == "#4CAF50" and value(naming.colour(F.lit("x"))) == "#9E9E9E" and value(naming.first_capital(F.lit("abC"))) == "AbC"
+    assert naming.keywords("fix the payment") == ["fix", "Fix", "the", "The", "payment", "Payment", "Billing", "Checkout", "Stripe", "Order", "Cart", "Fulfillment"]
     ignored = lambda p: value(naming.is_ignored(F.lit(p)) | naming.is_pruned(F.lit(p)))
     assert [ignored(p) for p in ("vendor/a.php", "a/vendor/b.php", "tests/fixtures/x.php", "src/x.generated.php", "src/x.php", "src/myvendor/x.php")] == [True, True, True, True, False, False]
     assert naming.keywords("add a cart-page", {"cart": ("Order",), "order": ("Invoice",)}) == ["add", "Add", "cart", "Cart", "page", "Page", "Order", "Invoice"]

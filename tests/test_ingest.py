@@ -37,7 +37,7 @@ namespace Acme\Order;
 
 #[AsPayloadHandler(payload: MakeOrderPayload::class, resource: Res::class)]
 class MakeOrderHandler {}
-#[AsEvent] class OrderMadeEvent {}
+#[AsEvent] #[Propagated] class OrderMadeEvent {}
 enum Kind: string implements Countable { case A = 'a'; }
 """
 
@@ -82,12 +82,12 @@ def test_extract(spark, tmp_path):
         (p, "imports", "class:Acme\\Core\\Bus"), (p, "imports", "class:Acme\\Core\\Event"), (p, "serves_route", "route:GET:/x"), (p, "serves_route", "route:POST:/x"), (p, "requires_permission", "permission:order.make"),
         (p, "injects_readonly", "class:Acme\\Core\\Bus"), (p, "injects_mutable", "unknown:untyped"), (p, "injects_config", "config:limit"), (p, "emits", own + "Done"), (p, "instantiates", "class:Lib\\Thing"),
         (p, "accepts", "class:Acme\\Core\\Event"), (p, "returns", "class:Lib\\Thing"), (h, "handles", p), (h, "produces", own + "Res"), (p, "participates_in_flow", "flow:MakeOrderFlow"), (h, "participates_in_flow", "flow:MakeOrderFlow"),
-        (own + "OrderMadeEvent", "publishes_to", "subject:events.order.order_made_event"), (own + "Kind", "implements", own + "Countable"), (p, "belongs_to_domain", "domain:Billing"),
+        (own + "OrderMadeEvent", "publishes_to", "subject:app.events.{node}.order.order_made"), (own + "Kind", "implements", own + "Countable"), (p, "belongs_to_domain", "domain:Billing"),
     }
     assert not any(t == "imports" and d == "class:Lib\\helper" for _, t, d in edges)
     nodes = {r.id: r for r in g.nodes.collect()}
     assert nodes[p].type == "payload" and nodes[h].type == "handler" and nodes[own + "Res"].type == "resource" and nodes[own + "Kind"].type == "enum"
-    assert json.loads(nodes[p].metadata) == {"path": "/x", "methods": ["GET", "POST"], "final": True} and nodes[p].line == 10 and nodes[p].module == "AcmeBilling"
+    assert json.loads(nodes[p].metadata) == {"path": "/x", "methods": ["GET", "POST"], "produces": ["text/html"], "accessType": "public", "final": True} and nodes[p].line == 10 and nodes[p].module == "AcmeBilling"
     assert nodes["class:Lib\\Thing"].is_placeholder and all(t in nodes for _, _, t in edges)
     scan.write_graph(g.nodes, g.edges, str(tmp_path / "out"))
     back = scan.read_graph(spark, str(tmp_path / "out"))
