@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbograph.functions import naming
-from arbograph.runtime import is_id
+from arbograph.runtime import is_id, split_join
 
 NODE = ("id", "type", "fqcn", "name", "file", "line", "end_line", "module", "metadata", "is_placeholder")
 EDGE = ("source_id", "target_id", "type", "metadata")
@@ -104,6 +104,16 @@ def diff_files(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", status.alias("status")).filter("status IS NOT NULL")
 
 
+def diff_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(kind, name, before, after, delta, status) of two Graph.snapshot()s; status is new, removed, changed or same, of modules new or removed only."""
+    a, b = (df.select("kind", "name", F.col("n").alias(n)) for df, n in ((before, "before"), (after, "after")))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    both = a.join(b, ["kind", "name"], "full_outer")
+    status = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "removed").when(F.col("before") != F.col("after"), "changed").otherwise("same")
+    rows = both.select("kind", "name", zero("before").alias("before"), zero("after").alias("after"), (zero("after") - zero("before")).alias("delta"), status.alias("status"))
+    return rows.filter("kind IN ('nodes', 'edges') OR kind = 'type' AND delta != 0 OR kind = 'module' AND status IN ('new', 'removed')")
+
+
 @dataclass(frozen=True)
 class Graph:
     nodes: DataFrame
@@ -181,14 +191,15 @@ class Graph:
         """Edges with the columns of both ends as source_<c> and target_<c>, null where an end has no node."""
         edges = self.edges if edges is None else edges
         side = lambda s: self.nodes.select(F.col("id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in columns])
-        return edges.join(side("source"), "source_id", "left").join(side("target"), "target_id", "left")
+        return split_join(split_join(edges, side("source"), "source_id", "left"), side("target"), "target_id", "left").select(*edges.columns, *[f"{s}_{c}" for s in ("source", "target") for c in columns])
 
     def cross_module(self, from_: str | None = None, to: str | None = None) -> DataFrame:
-        """Coupling edges between two named, different modules, with both modules."""
-        found = self.ends(self.edges.filter(F.col("type").isin(*CROSS_MODULE))).filter("source_module != '' AND target_module != '' AND source_module != target_module")
-        if from_:
-            found = found.filter(F.col("source_module") == from_)
-        return found.filter(F.col("target_module") == to) if to else found
+        """Coupling edges between two named, different modules, with both modules. Only nodes of named modules (of the ones asked for) are joined."""
+        edges = self.edges.filter(F.col("type").isin(*CROSS_MODULE))
+        for side, module in (("source", from_), ("target", to)):
+            named = self.nodes.filter(F.col("module") == module if module else F.col("module") != "")
+            edges = split_join(edges, named.select(F.col("id").alias(f"{side}_id"), F.col("module").alias(f"{side}_module")), f"{side}_id")
+        return edges.filter("source_module != target_module").select(*self.edges.columns, "source_module", "target_module")
 
     def labelled(self, edges: DataFrame) -> DataFrame:
         """Edges with a label for each end: its fqcn, or its id where there is no node."""
@@ -208,8 +219,19 @@ class Graph:
         return self.nodes.join(sources, "id", "left_semi")
 
     def related_tests(self, id_: str) -> DataFrame:
+        """The tests edges into a node; test_nodes() are the nodes that they come from."""
         return self.edges.filter((F.col("type") == "tests") & (F.col("target_id") == id_))
 
+    def test_nodes(self, id_: str) -> DataFrame:
+        return self.nodes.join(self.related_tests(id_).select(F.col("source_id").alias("id")), "id", "left_semi")
+
+    def exists(self, id_: str) -> bool:
+        return not self.node(id_).isEmpty()
+
+    def typed(self, ids: DataFrame) -> DataFrame:
+        """ids(id) with the type of their node, unknown where there is none."""
+        return split_join(ids, self.nodes.select("id", "type"), "id", "left").withColumn("type", F.coalesce("type", F.lit("unknown")))
+
     def handler_chains(self) -> DataFrame:
         """(route, payload, handler, resource): route <- serves_route payload <- handles handler -> produces resource; missing steps are null, a payload is needed."""
         step = lambda t, a, b: self.edges.filter(F.col("type") == t).select(F.col("source_id").alias(a), F.col("target_id").alias(b))
@@ -223,6 +245,38 @@ class Graph:
         """(id, domain_id) of the first belongs_to_domain target of each node that has one."""
         return self.edges.filter("type = 'belongs_to_domain'").groupBy(F.col("source_id").alias("id")).agg(F.min("target_id").alias("domain_id"))
 
+    def domain_of(self, id_: str) -> DataFrame:
+        """(domain_id, name, description, criticality, key_entities) of a node's first domain; of module:<name> that of the module's first node that has one."""
+        if id_.startswith("module:"):
+            own = self.nodes.filter(F.col("module") == id_[7:]).select(F.col("id").alias("source_id"))
+            found = self.edges.filter("type = 'belongs_to_domain'").join(own, "source_id", "left_semi")
+        else:
+            found = self.edges_of(id_, "outgoing", "belongs_to_domain")
+        first = found.orderBy("source_id", "target_id").limit(1).select(F.col("target_id").alias("id"))
+        of = lambda key, default: F.coalesce(F.get_json_object("metadata", f"$.{key}"), F.lit(default))
+        return self.nodes.filter("type = 'domain_context'").join(first, "id").select(F.col("id").alias("domain_id"), F.coalesce(F.get_json_object("metadata", "$.name"), F.col("name")).alias("name"), of("description", "").alias("description"), of("criticality", "medium").alias("criticality"), of("key_entities", "[]").alias("key_entities"))
+
+    def event_info(self, id_: str) -> DataFrame:
+        """(role, id): what emits an event and what listens to it, for events without a node of their own."""
+        role = lambda type_, name: self.edges_of(id_, "incoming", type_).select(F.lit(name).alias("role"), F.col("source_id").alias("id"))
+        return role("emits", "emitter").unionByName(role("listens_to", "listener"))
+
+    def lifecycle(self, id_: str) -> DataFrame:
+        """(role, mode, id, label, queue) of one event: its emitters, listeners by mode (sync if none is stated), subject with its stream as queue, and the subject's consumers."""
+        name = lambda df: split_join(df, self.nodes.select("id", "fqcn", F.col("metadata").alias("own")), "id", "left")
+        row = lambda df, role, mode, queue: df.select(F.lit(role).alias("role"), mode.alias("mode"), "id", F.coalesce(F.when(F.col("fqcn") != "", F.col("fqcn")), F.col("id")).alias("label"), queue.alias("queue"))
+        none = F.lit(None).cast("string")
+        at = lambda c, key: F.get_json_object(text_json(F.col(c)), f"$.{key}")
+        emitters = row(name(self.edges_of(id_, "incoming", "emits").select(F.col("source_id").alias("id"))), "emitter", none, none)
+        heard = name(self.edges_of(id_, "incoming", "listens_to").select(F.col("source_id").alias("id"), "metadata"))
+        mode = F.coalesce(at("metadata", "executionMode"), F.lit("sync"))
+        listeners = row(heard, "listener", F.when(mode.isin("async", "queued"), mode).otherwise("sync"), at("own", "queue"))
+        subject = self.edges_of(id_, "outgoing", "publishes_to").orderBy("target_id").limit(1).select(F.col("target_id").alias("id"))
+        subjects = name(subject)
+        consumers = self.edges.filter("type = 'consumes_from'").join(subject.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select(F.col("source_id").alias("id"))
+        pattern = subjects.withColumn("fqcn", F.coalesce(at("own", "pattern"), F.col("id")))
+        return emitters.unionByName(listeners).unionByName(row(pattern, "subject", none, F.coalesce(at("own", "stream"), F.lit("EVENTS")))).unionByName(row(name(consumers), "consumer", none, none))
+
     def lifecycles(self) -> DataFrame:
         """(event_id, n_emitters, sync, async, queued, subjects, n_consumers) of the targets of emits and listens_to; listeners by executionMode, sync if it is not stated."""
         e = lambda t: self.edges.filter(F.col("type") == t)
@@ -241,14 +295,27 @@ class Graph:
         return getattr(self, what).groupBy("type").agg(F.count("*").alias("n"))
 
     def modules(self, type_: str | None = "class") -> DataFrame:
-        """(module, n) of the nodes of a type, of all if it is None; nodes of no module don't count."""
+        """(module, n) of the nodes of a type, of all if it is None, most first; nodes of no module don't count."""
         base = self.nodes if type_ is None else self.of_type(type_)
-        return base.filter("module != ''").groupBy("module").agg(F.count("*").alias("n"))
+        return base.filter("module != ''").groupBy("module").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "module")
 
     def routes(self) -> DataFrame:
         """(method, n) of the routes, GET where metadata states none."""
         return self.of_type("route").groupBy(F.coalesce(F.get_json_object(text_json(F.col("metadata")), "$.method"), F.lit("GET")).alias("method")).agg(F.count("*").alias("n"))
 
+    def context(self, module: str | None = None) -> DataFrame:
+        """One row of a project's (or a module's) numbers: n_modules, n_routes, services, contracts, events, listeners, entities, relations, cross_module_edges (null for a module)."""
+        nodes = self.of_module(module) if module else self.nodes
+        n = lambda t: F.count_if(F.col("type") == t)
+        counts = nodes.agg(F.count_distinct(F.when(F.col("module") != "", F.col("module"))).alias("n_modules"), n("route").alias("n_routes"), n("service").alias("services"), n("event").alias("events"), n("event_listener").alias("listeners"), n("entity").alias("entities"))
+        edges = self.edges.filter(F.col("type").isin("satisfies_contract", "has_relation"))
+        if module:
+            edges = self.ends(edges).filter((F.col("source_module") == module) | (F.col("target_module") == module))
+        links = edges.agg(F.count_distinct(F.when(F.col("type") == "satisfies_contract", F.col("target_id"))).alias("contracts"), n("has_relation").alias("relations"))
+        crossing = self.cross_module().agg(F.count("*").alias("cross_module_edges")) if not module else self.nodes.sparkSession.range(1).select(F.lit(None).cast("long").alias("cross_module_edges"))
+        one = lambda df: df.withColumn("one", F.lit(1))  # one row each
+        return one(counts).join(one(links), "one").join(one(crossing), "one").select("n_modules", "n_routes", "services", "contracts", "events", "listeners", "entities", "relations", "cross_module_edges")
+
     def edge_count(self, type_: str, module: str) -> DataFrame:
         """(n): the edges of a type with an end in the module."""
         return self.ends(self.edges.filter(F.col("type") == type_)).filter((F.col("source_module") == module) | (F.col("target_module") == module)).agg(F.count("*").alias("n"))
@@ -271,6 +338,15 @@ class Graph:
         parts = [row("nodes", self.nodes), row("edges", self.edges), row("placeholders", self.nodes.filter("is_placeholder")), row("modules", self.nodes.filter("module != ''").select("module").distinct()), row("orphans", self.orphan_nodes()), row("cross_module_edges", self.cross_module())]
         return reduce(DataFrame.unionByName, parts)
 
+    def snapshot(self, module: str | None = None) -> DataFrame:
+        """(kind, name, n): the numbers that two states of a graph are compared by: nodes and edges in all, nodes by type, and the modules."""
+        nodes = self.of_module(module) if module else self.nodes
+        edges = self.ends().filter((F.col("source_module") == module) | (F.col("target_module") == module)) if module else self.edges
+        row = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit("").alias("name"), "n")
+        types = nodes.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n")).select(F.lit("type").alias("kind"), "name", "n")
+        modules = nodes.filter("module != ''").groupBy(F.col("module").alias("name")).agg(F.count("*").alias("n")).select(F.lit("module").alias("kind"), "name", "n")
+        return reduce(DataFrame.unionByName, [row(nodes, "nodes"), row(edges, "edges"), types, modules])
+
     def degrees(self) -> DataFrame:
         """(id, out_degree, in_degree, degree) of every node that an edge touches."""
         both = self.edges.select(F.col("source_id").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(self.edges.select(F.col("target_id").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))

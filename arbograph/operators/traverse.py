@@ -1,8 +1,9 @@
 """Level-synchronous traversals, trees of simple paths, bounded cycles and views.
 
 A level joins the frontier with the edges. Frontiers are distinct and never visited before, so each node is expanded
-once. Levels are written to the shared folder: the plan of a level never contains the levels before it. Whether a
-frontier is broadcast is left to the optimiser, which knows its written size.
+once. Levels are written to the shared folder: the plan of a level never contains the levels before it. The edges are
+read, not copied: of a graph that is not stored yet, store them first. A frontier within the limit for broadcasts goes to
+the edges; beyond it the arcs of hubs are joined apart (split_join).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbograph.operators.graph import Graph
-from arbograph.runtime import stored
+from arbograph.runtime import split_join, stored, stored_with
 
 
 def _arcs(edges: DataFrame, direction: str) -> DataFrame:
@@ -26,16 +27,15 @@ def _arcs(edges: DataFrame, direction: str) -> DataFrame:
 def touched_edges(graph: Graph, starts: DataFrame, direction: str, depth: int) -> DataFrame:
     """(source_id, target_id, type, level): every edge touched by a node at its expansion, those to visited nodes included; starts(id)."""
     arcs = _arcs(graph.edges, direction)
-    arcs = stored(arcs, "arcs") if depth > 1 else arcs
-    frontier = stored(starts.select("id").distinct(), "frontier")
+    frontier, n = stored_with(starts.select("id").distinct(), "frontier", F.lit(True))
     seen, found = frontier, []
     for level in range(1, depth + 1):
-        if frontier.isEmpty():
+        if not n:
             break
-        step = stored(arcs.join(frontier.withColumnRenamed("id", "at"), "at").withColumn("level", F.lit(level)), "touched")
+        step = stored(split_join(arcs, frontier.withColumnRenamed("id", "at"), "at").withColumn("level", F.lit(level)), "touched")
         found.append(step)
         if level < depth:
-            frontier = stored(step.select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti"), "frontier")
+            frontier, n = stored_with(step.select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti"), "frontier", F.lit(True))
             seen = seen.unionByName(frontier)
     columns = ["source_id", "target_id", "type", "level"]
     if not found:
@@ -50,15 +50,15 @@ def reached(graph: Graph, starts: DataFrame, direction: str = "incoming", depth:
     Ids without a node row are passed through and not reported.
     """
     arcs = _arcs(graph.edges, direction)
-    arcs = stored(arcs, "arcs") if depth > 1 else arcs
-    frontier = stored(starts.select("id").distinct(), "frontier")
+    frontier, n = stored_with(starts.select("id").distinct(), "frontier", F.lit(True))
     seen, levels = frontier, []
     for level in range(1, depth + 1):
-        if frontier.isEmpty():
+        if not n:
             break
-        step = arcs.join(frontier.withColumnRenamed("id", "at"), "at").join(seen.withColumnRenamed("id", "to"), "to", "left_anti")
-        via = F.min(F.struct("at", "type", "source_id", "target_id"))
-        step = stored(step.groupBy(F.col("to").alias("id")).agg(via.alias("via")).select("id", F.lit(level).alias("distance"), F.col("via.source_id").alias("via_source"), F.col("via.target_id").alias("via_target"), F.col("via.type").alias("via_type")), "level")
+        # Aggregated before the anti-join, so that a node that many arcs lead to is one row there.
+        step = split_join(arcs, frontier.withColumnRenamed("id", "at"), "at").groupBy(F.col("to").alias("id")).agg(F.min(F.struct("at", "type", "source_id", "target_id")).alias("via"))
+        step = step.join(seen, "id", "left_anti").select("id", F.lit(level).alias("distance"), F.col("via.source_id").alias("via_source"), F.col("via.target_id").alias("via_target"), F.col("via.type").alias("via_type"))
+        step, n = stored_with(step, "level", F.lit(True))
         levels.append(step)
         frontier = step.select("id")
         seen = seen.unionByName(frontier)
@@ -72,7 +72,7 @@ def simple_paths(graph: Graph, start: str, direction: str = "outgoing", depth: i
 
     The number of such paths grows with the degrees to the power of depth; the depth is the caller's bound on it.
     """
-    arcs = stored(_arcs(graph.edges, direction).select("at", "to", "type"), "arcs")
+    arcs = _arcs(graph.edges, direction).select("at", "to", "type")
     paths = graph.edges.sparkSession.createDataFrame([(start, [start])], "at string, path array<string>")
     levels = []
     for level in range(1, depth + 1):
@@ -84,27 +84,25 @@ def simple_paths(graph: Graph, start: str, direction: str = "outgoing", depth: i
 def bounded_cycles(edges: DataFrame, seeds: DataFrame | None = None, max_length: int = 10) -> DataFrame:
     """(cycle, length): the elementary cycles of up to max_length nodes, from the least id on, ids parted by ' > '.
 
-    Nodes that no cycle can pass (no way in, or no way out) are trimmed first until none is left, as only then does the
-    path search start. With seeds(id) only cycles through one of them.
+    Nodes that no cycle can pass (no way in, or no way out) are trimmed first, in max_length rounds at most: a longer
+    way in or out costs the path search no more than a way of that length. With seeds(id) only cycles through one of them.
     """
-    arcs = stored(edges.select("source_id", "target_id").distinct(), "arcs")
-    n = arcs.count()
-    while n:
+    arcs, n = stored_with(edges.select("source_id", "target_id").distinct(), "arcs", F.lit(True))
+    for _ in range(max_length if n else 0):
         into, out = arcs.select(F.col("target_id").alias("source_id")).distinct(), arcs.select(F.col("source_id").alias("target_id")).distinct()
-        arcs = stored(arcs.join(into, "source_id", "left_semi").join(out, "target_id", "left_semi").select("source_id", "target_id"), "arcs")
-        m = arcs.count()
-        if m == n:
+        arcs, m = stored_with(arcs.join(into, "source_id", "left_semi").join(out, "target_id", "left_semi").select("source_id", "target_id"), "arcs", F.lit(True))
+        if m in (0, n):
             break
         n = m
     # A path starts at its least id and only visits greater ones, so each cycle is found once.
     paths = arcs.filter("target_id >= source_id").select(F.col("source_id").alias("head"), F.col("target_id").alias("at"), F.array("source_id").alias("path"))
     found = []
     for _ in range(max_length):
-        paths = stored(paths, "cycle-paths")
+        paths, n = stored_with(paths, "cycle-paths", F.lit(True))
         found.append(paths.filter("at = head").select("path"))
-        paths = paths.filter("at != head").withColumn("path", F.concat("path", F.array("at"))).join(arcs.withColumnRenamed("source_id", "at"), "at").filter((F.col("target_id") >= F.col("head")) & ((F.col("target_id") == F.col("head")) | ~F.array_contains("path", F.col("target_id")))).select("head", F.col("target_id").alias("at"), "path")
-        if paths.isEmpty():
+        if not n:
             break
+        paths = paths.filter("at != head").withColumn("path", F.concat("path", F.array("at"))).join(arcs.withColumnRenamed("source_id", "at"), "at").filter((F.col("target_id") >= F.col("head")) & ((F.col("target_id") == F.col("head")) | ~F.array_contains("path", F.col("target_id")))).select("head", F.col("target_id").alias("at"), "path")
     all_ = reduce(DataFrame.unionByName, found)
     if seeds is not None:
         hit = all_.withColumn("id", F.explode("path")).join(seeds.select("id"), "id", "left_semi").select("path").distinct()

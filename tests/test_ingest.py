@@ -103,6 +103,17 @@ def test_extract_nothing(spark):
 FEED = "seq long, node_id string, file string, op string, content_hash string, changed_at timestamp_ntz, arrived_at timestamp_ntz"
 
 
+def test_watch_folds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(watch, "FOLD", 2)
+    t = dt.datetime(2025, 1, 1)
+    df = spark.createDataFrame([(i, f"n{i % 4}", "f", "delete" if i == 9 else "upsert", f"h{i}", t + dt.timedelta(hours=i), t) for i in range(10)], FEED)
+    source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    for n in range(5):
+        df.filter(f"seq DIV 2 = {n}").coalesce(1).write.mode("append").parquet(source)
+        watch.watch(spark, source, df.schema, target, checkpoint).awaitTermination()
+        assert sorted(map(tuple, watch.watched_state(spark, target, n).collect())) == sorted(map(tuple, watch.current_state(df.filter(f"seq < {2 * n + 2}")).collect()))
+
+
 def test_watch_equals_batch(spark, tmp_path):
     t = dt.datetime(2025, 1, 1)
     feed = [(i, f"n{i * 7 % 10}", "f", "delete" if i % 4 == 0 else "upsert", None if i % 9 == 0 else f"h{i % 3}", t + dt.timedelta(hours=i * 5 % 13), t) for i in range(60)]
