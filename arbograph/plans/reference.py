@@ -11,8 +11,8 @@ from arbograph.functions import naming
 from arbograph.operators import graph as G
 from arbograph.operators import extract, score, traverse
 from arbograph.operators.graph import Graph
-from arbograph.runtime import scratch_path, stored, table
-from arbograph.sources import facts
+from arbograph.runtime import scratch_path, stored, table, union
+from arbograph.sources import facts, render
 from arbograph.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,12 +22,30 @@ VENDOR = "Orchard"
 _BLANK = "length(trim({0}, chr(32)||chr(9)||chr(10)||chr(13)||chr(12)||chr(11)||chr(160))) > 0"
 
 
-def _in(words) -> str:
-    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
-
-
-def _case(col: str, weights: dict, default) -> str:
-    return "CASE " + " ".join(f"WHEN {col} IN {_in(v)} THEN {k}" for k, v in weights.items()) + f" ELSE {default} END"
+# The constants of the SQL are written out and not taken from the operators, so that a wrong one there shows.
+_CROSS = "('injects_readonly', 'injects_mutable', 'injects_factory', 'calls', 'extends', 'implements', 'handles', 'produces', 'listens_to', 'emits')"
+_PRIORITY = """CASE WHEN type = 'command' THEN 220
+ WHEN type IN ('payload', 'handler', 'resource', 'service', 'event', 'event_listener', 'entity', 'repository', 'auth_handler', 'component', 'slot_handler', 'data_provider', 'job', 'pipeline_phase') THEN 180
+ WHEN type IN ('domain_context', 'execution_flow', 'event_flow', 'data_lifecycle', 'system_boundary', 'hotspot', 'nats_subject', 'aggregate_root', 'doc_node') THEN 160
+ WHEN type IN ('route', 'method', 'property', 'constant', 'enum_case') THEN 140 WHEN type IN ('class', 'interface', 'trait', 'enum') THEN 20 ELSE 100 END"""
+_BLAST = """CASE WHEN via_type IN ('implements', 'extends', 'satisfies_contract') THEN 10 WHEN via_type IN ('serves_route', 'handles', 'exposes_api') THEN 7 WHEN via_type IN ('listens_to', 'emits', 'publishes_to', 'consumes_from') THEN 6
+ WHEN via_type IN ('accepts', 'returns', 'injects_readonly', 'injects_mutable') THEN 5 WHEN via_type IN ('uses', 'imports', 'calls', 'instantiates') THEN 2 ELSE 1 END"""
+_RISK = "CASE WHEN type IN ('injects_readonly', 'injects_mutable') THEN 3 WHEN type IN ('instantiates', 'extends', 'implements') THEN 2 ELSE 1 END"
+_DIRECT = "('calls', 'instantiates', 'injects_readonly', 'injects_mutable', 'extends', 'implements', 'listens_to')"
+_FURTHER = "('calls', 'instantiates', 'injects_readonly', 'injects_mutable')"
+_RELEVANCE = """CASE WHEN N.type IN ('payload', 'handler') THEN 10 WHEN N.type IN ('service', 'route') THEN 8 WHEN N.type IN ('entity', 'resource') THEN 7 WHEN N.type IN ('event_listener', 'repository') THEN 6
+ WHEN N.type IN ('event', 'command') THEN 5 WHEN N.type IN ('component', 'job') THEN 4 ELSE 3 END"""
+_EDGE_RELEVANCE = """CASE WHEN type = 'handles' THEN 10 WHEN type = 'injects_mutable' THEN 9 WHEN type IN ('produces', 'satisfies_contract') THEN 8 WHEN type IN ('injects_readonly', 'emits', 'has_relation') THEN 7
+ WHEN type IN ('extends', 'listens_to', 'maps_to_table') THEN 6 WHEN type = 'implements' THEN 5 WHEN type = 'calls' THEN 4 ELSE 3 END"""
+_NAME_RISK = "CASE WHEN ends_with(s, 'Service') THEN 0.15::DOUBLE WHEN ends_with(s, 'Handler') THEN 0.1::DOUBLE WHEN ends_with(s, 'Manager') THEN 0.1::DOUBLE WHEN ends_with(s, 'Facade') THEN 0.2::DOUBLE WHEN ends_with(s, 'Kernel') THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END"
+_DOMAINS = """CASE WHEN regexp_matches(lower(module), 'auth|login|register|permission|capability|rbac') THEN 'Auth' WHEN regexp_matches(lower(module), 'billing|invoice|payment|subscription|pricing') THEN 'Billing'
+ WHEN regexp_matches(lower(module), 'inventory|stock|product|warehouse|sku') THEN 'Inventory' WHEN regexp_matches(lower(module), 'order|cart|checkout|fulfillment|shipping') THEN 'Ordering'
+ WHEN regexp_matches(lower(module), 'notification|email|sms|push|alert') THEN 'Notification' WHEN regexp_matches(lower(module), 'media|image|video|upload|storage|asset') THEN 'Media'
+ WHEN regexp_matches(lower(module), 'search|index|query|filter|facet') THEN 'Search' WHEN regexp_matches(lower(module), 'analytics|metric|report|dashboard|tracking') THEN 'Analytics'
+ WHEN regexp_matches(lower(module), 'user|profile|account|preference|avatar') THEN 'User' WHEN regexp_matches(lower(module), 'content|page|article|post|cms|block') THEN 'Content'
+ WHEN regexp_matches(lower(module), 'tenant|organization|workspace|team') THEN 'Tenancy' WHEN regexp_matches(lower(module), 'workflow|process|approval|state|transition') THEN 'Workflow'
+ WHEN regexp_matches(lower(module), 'schedule|cron|job|task|timer') THEN 'Scheduler' WHEN regexp_matches(lower(module), 'ledger|event|propagat|replay|sequence') THEN 'Ledger'
+ WHEN regexp_matches(lower(module), 'cache|redis|ttl|invalidat') THEN 'Cache' WHEN regexp_matches(lower(module), 'locale|language|translation|i18n|l10n') THEN 'Locale' ELSE module END"""
 
 
 PRELUDE = f"""WITH RECURSIVE N0 AS (SELECT * FROM graph_nodes UNION ALL BY NAME SELECT * FROM core_nodes),
@@ -40,7 +58,7 @@ N AS (SELECT * FROM NR UNION ALL SELECT id, 'class', fqcn, split_part(fqcn, chr(
 HUB AS (SELECT target_id AS id FROM E GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
 LEAF AS (SELECT source_id AS id FROM E GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4 ORDER BY 1 LIMIT 1),
 EV AS (SELECT e.*, s.module AS source_module, t.module AS target_module, s.fqcn AS source_fqcn, t.fqcn AS target_fqcn FROM E e LEFT JOIN N s ON s.id = e.source_id LEFT JOIN N t ON t.id = e.target_id),
-XM AS (SELECT * FROM EV WHERE type IN {_in(G.CROSS_MODULE)} AND source_module != '' AND target_module != '' AND source_module != target_module)"""
+XM AS (SELECT * FROM EV WHERE type IN {_CROSS} AND source_module != '' AND target_module != '' AND source_module != target_module)"""
 
 
 def node_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -49,11 +67,36 @@ def node_rows(spark: SparkSession, d: str) -> DataFrame:
     return both.filter("removed_at IS NULL").withColumn("module", F.coalesce("module", F.lit("")))
 
 
+def _fingerprint(spark: SparkSession, d: str) -> str:
+    """What the graph's tables consist of: their files with sizes and times."""
+    out = []
+    for name in ("graph_nodes", "core_nodes", "graph_edges"):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        out += [f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    return "\n".join(sorted(out))
+
+
 def code_graph(spark: SparkSession, d: str) -> Graph:
-    """The graph as it is now: one row per live node, one per edge, placeholders for missing targets."""
-    nodes = G.upsert_nodes(node_rows(spark, d), ["indexed_at", "node_row"])
-    edges = G.upsert_edges(table(spark, d, "graph_edges"), ["indexed_at", "edge_id"])
-    return Graph(nodes.unionByName(G.placeholders(nodes, edges)), edges)
+    """The graph as it is now: one row per live node, one per edge, placeholders for missing targets.
+
+    It is built once for a state of its tables and stored in the shared folder, sorted by type within its files, as a
+    graph is generated once and then asked; the queries read what is stored.
+    """
+    known = spark.sparkContext.__dict__.setdefault("_arbograph_graphs", {})
+    key = _fingerprint(spark, d)
+    paths = known.get(key)
+    if not paths or not all(spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS")) for p in paths):
+        nodes = G.upsert_nodes(node_rows(spark, d), ["indexed_at", "node_row"])
+        paths = [scratch_path(spark, "graph-nodes"), scratch_path(spark, "graph-edges")]
+        G.upsert_edges(table(spark, d, "graph_edges"), ["indexed_at", "edge_id"]).sortWithinPartitions("type").write.parquet(paths[1])
+        nodes = stored(nodes, "graph-real")
+        nodes.unionByName(G.placeholders(nodes, spark.read.schema(EDGE_ROW).parquet(paths[1]))).sortWithinPartitions("type").write.parquet(paths[0])
+        known[key] = paths
+    return Graph(spark.read.schema(NODE_ROW).parquet(paths[0]), spark.read.schema(EDGE_ROW).parquet(paths[1]))
+
+
+NODE_ROW = "id string, type string, fqcn string, name string, file string, line int, end_line int, module string, metadata string, is_placeholder boolean"
+EDGE_ROW = "source_id string, target_id string, type string, metadata string"
 
 
 def hub(g: Graph) -> str:
@@ -131,7 +174,7 @@ def live_ids(spark, d):
 
 @query(
     f"""SELECT id, arg_max(type, (p, node_row)) AS type, coalesce(arg_max(file, (p, node_row)) FILTER (file != ''), '') AS file, coalesce(arg_max(end_line, (p, node_row)) FILTER (end_line != 0), 0) AS end_line, bool_and(is_placeholder) AS is_placeholder
- FROM (SELECT *, {" ".join(["CASE", *(f"WHEN type IN {_in(v)} THEN {k}" for k, v in G.TYPE_PRIORITY.items()), "ELSE 100 END"])} AS p FROM (SELECT * FROM graph_nodes UNION ALL BY NAME SELECT * FROM core_nodes) WHERE removed_at IS NULL) GROUP BY id""",
+ FROM (SELECT *, {_PRIORITY} AS p FROM (SELECT * FROM graph_nodes UNION ALL BY NAME SELECT * FROM core_nodes) WHERE removed_at IS NULL) GROUP BY id""",
     raw=True,
 )
 def merge_priority(spark, d):
@@ -214,9 +257,9 @@ def edges_both(g):
     return _edge(g.edges_of(hub(g)))
 
 
-@query(f"SELECT {_EDGE} FROM E WHERE type = 'calls' AND target_id = (SELECT id FROM HUB)")
+@query(f"SELECT {_EDGE} FROM E WHERE type = 'uses' AND target_id = (SELECT id FROM HUB)")
 def edges_in_typed(g):
-    return _edge(g.edges_of(hub(g), "incoming", "calls"))
+    return _edge(g.edges_of(hub(g), "incoming", "uses"))
 
 
 @query(f"SELECT {_EDGE} FROM E WHERE type = 'handles' ORDER BY source_id, target_id LIMIT 1000")
@@ -267,9 +310,42 @@ def contract_implementors(g):
     return _node(g.implementors(hub(g)))
 
 
-@query(f"SELECT {_EDGE} FROM E WHERE type = 'tests' AND target_id = (SELECT id FROM HUB)")
-def related_tests(g):
-    return _edge(g.related_tests(hub(g)))
+def order_graph(spark: SparkSession, d: str) -> Graph:
+    """A graph of the trade tables: customers and suppliers belong to their nation's domain, suppliers test the part that they delivered first."""
+    t = lambda name: table(spark, d, name)
+    key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+
+    def node(df, id_, type_, fqcn, module):
+        zero, empty = F.lit(0), F.lit("")
+        return df.select(id_.alias("id"), F.lit(type_).alias("type"), fqcn.alias("fqcn"), naming.short_name(fqcn).alias("name"), empty.alias("file"), zero.alias("line"), zero.alias("end_line"), module.alias("module"), F.lit("{}").alias("metadata"), F.lit(False).alias("is_placeholder"))
+
+    def edge(df, source, target, type_):
+        return df.select(source.alias("source_id"), target.alias("target_id"), F.lit(type_).alias("type"), F.lit("{}").alias("metadata"))
+
+    nodes = [node(t("nation"), key("nation:", "n_nationkey"), "domain_context", F.col("n_name"), F.lit("")), node(t("customer"), key("customer:", "c_custkey"), "payload", F.col("c_name"), key("", "c_nationkey")), node(t("supplier"), key("supplier:", "s_suppkey"), "service", F.col("s_name"), key("", "s_nationkey")), node(t("part"), key("part:", "p_partkey"), "class", F.col("p_name"), F.col("p_brand"))]
+    first = t("lineitem").groupBy("l_suppkey").agg(F.min_by("l_partkey", F.struct("l_orderkey", "l_linenumber")).alias("l_partkey"))
+    edges = [edge(t("customer"), key("customer:", "c_custkey"), key("nation:", "c_nationkey"), "belongs_to_domain"), edge(t("supplier"), key("supplier:", "s_suppkey"), key("nation:", "s_nationkey"), "belongs_to_domain"), edge(first, key("supplier:", "l_suppkey"), key("part:", "l_partkey"), "tests")]
+    return Graph(union(nodes), union(edges))
+
+
+_TESTS = "T AS (SELECT 'supplier:' || l_suppkey AS source_id, 'part:' || arg_min(l_partkey, (l_orderkey, l_linenumber)) AS target_id, 'tests' AS type FROM lineitem GROUP BY l_suppkey)"
+
+
+def _tested(g: Graph) -> str:
+    row = g.edges_of_type("tests").groupBy("target_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target_id").first()
+    return row.target_id if row else ""
+
+
+@query(f"WITH {_TESTS} SELECT {_EDGE} FROM T WHERE target_id = (SELECT target_id FROM T GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)", raw=True)
+def related_tests(spark, d):
+    g = order_graph(spark, d)
+    return _edge(g.related_tests(_tested(g)))
+
+
+@query(f"WITH {_TESTS} SELECT 'supplier:' || s_suppkey AS id, s_name AS fqcn FROM supplier WHERE 'supplier:' || s_suppkey IN (SELECT source_id FROM T WHERE target_id = (SELECT target_id FROM T GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))", raw=True)
+def test_nodes(spark, d):
+    g = order_graph(spark, d)
+    return g.test_nodes(_tested(g)).select("id", "fqcn")
 
 
 @query("SELECT r.target_id AS route, h.target_id AS payload, h.source_id AS handler, p.target_id AS resource FROM E h LEFT JOIN E r ON r.source_id = h.target_id AND r.type = 'serves_route' LEFT JOIN E p ON p.source_id = h.source_id AND p.type = 'produces' WHERE h.type = 'handles'")
@@ -323,9 +399,15 @@ def degrees(g):
     return g.degrees()
 
 
-@query("SELECT source_id AS id, min(target_id) AS domain_id FROM E WHERE type = 'belongs_to_domain' GROUP BY 1")
-def node_domains(g):
-    return g.with_domain()
+@query("SELECT 'customer:' || c_custkey AS id, 'nation:' || c_nationkey AS domain_id FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier", raw=True)
+def node_domains(spark, d):
+    return order_graph(spark, d).with_domain()
+
+
+@query("SELECT 'nation:' || n_nationkey AS domain_id, n_name AS name, '' AS description, 'medium' AS criticality, '[]' AS key_entities FROM nation WHERE n_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = (SELECT min(c_custkey) FROM customer))", raw=True)
+def domain_of_node(spark, d):
+    g = order_graph(spark, d)
+    return g.domain_of("customer:" + str(table(spark, d, "customer").agg(F.min("c_custkey")).first()[0]))
 
 
 _MODE = "coalesce(json_extract_string(CASE WHEN metadata IS NULL OR metadata IN ('', '[]') THEN '{}' ELSE metadata END, '$.executionMode'), 'sync')"
@@ -454,8 +536,8 @@ def view_module(g):
 
 
 @query(
-    f""", a AS (SELECT DISTINCT source_id AS id FROM E WHERE target_id = (SELECT id FROM HUB) AND type IN {_in(score.DIRECT)} AND source_id != (SELECT id FROM HUB)),
- b AS (SELECT DISTINCT source_id AS id FROM E WHERE target_id IN (SELECT id FROM a) AND type IN {_in(score.FURTHER)} AND source_id NOT IN (SELECT id FROM a) AND source_id != (SELECT id FROM HUB)) SELECT id, 1 AS level FROM a UNION ALL SELECT id, 2 FROM b"""
+    f""", a AS (SELECT DISTINCT source_id AS id FROM E WHERE target_id = (SELECT id FROM HUB) AND type IN {_DIRECT} AND source_id != (SELECT id FROM HUB)),
+ b AS (SELECT DISTINCT source_id AS id FROM E WHERE target_id IN (SELECT id FROM a) AND type IN {_FURTHER} AND source_id NOT IN (SELECT id FROM a) AND source_id != (SELECT id FROM HUB)) SELECT id, 1 AS level FROM a UNION ALL SELECT id, 2 FROM b"""
 )
 def component_dependents(g):
     return traverse.dependents(g, hub(g), score.DIRECT, score.FURTHER)
@@ -473,7 +555,7 @@ def _fq(c: str) -> str:
 
 
 @query(
-    f"""{_IMPACT}, bp AS (SELECT {_case("via_type", score.BLAST, 1)} * (CASE distance WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0.25 END) * (CASE WHEN {_key("via_source")} != {_key("via_target")} THEN 1.5 ELSE 1.0 END) AS p, {_key("id")} IN {_in(score.CORE_MODULES)} OR contains(id, 'Contract') AS h FROM impact),
+    f"""{_IMPACT}, bp AS (SELECT {_BLAST} * (CASE distance WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0.25 END) * (CASE WHEN {_key("via_source")} != {_key("via_target")} THEN 1.5 ELSE 1.0 END) AS p, {_key("id")} IN ('Orm', 'Ssr', 'Auth', 'Tenancy', 'Workflow') OR contains(id, 'Contract') AS h FROM impact),
  s AS (SELECT least(100, round(coalesce(sum(p), 0)::DOUBLE + 15 * count(*) FILTER (h)))::INTEGER AS score, count(*) FILTER (h) AS n_hotspots, count(*) AS n_impacted FROM bp)
  SELECT score, CASE WHEN score >= 60 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS level, CASE WHEN score >= 60 THEN 'epic_required' ELSE 'inline' END AS recommendation, n_hotspots, n_impacted FROM s"""
 )
@@ -482,14 +564,14 @@ def blast_radius(g):
 
 
 @query(
-    f""", r AS (SELECT (SELECT coalesce(sum({_case("type", score.RISK, 1)}), 0) FROM E WHERE target_id = (SELECT id FROM HUB) AND type IN {_in(score.DIRECT)}) + 2 * (SELECT count(*) FROM E l WHERE l.type = 'listens_to' AND l.target_id IN (SELECT target_id FROM E WHERE type = 'emits' AND source_id = (SELECT id FROM HUB))) AS risk,
- (SELECT count(*) FROM E WHERE target_id = (SELECT id FROM HUB) AND type IN {_in(score.DIRECT)}) AS n_dependents) SELECT risk::BIGINT AS risk, CASE WHEN risk >= 20 THEN 'CRITICAL' WHEN risk >= 10 THEN 'HIGH' WHEN risk >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS level, n_dependents FROM r"""
+    f""", r AS (SELECT (SELECT coalesce(sum({_RISK}), 0) FROM E WHERE target_id = (SELECT id FROM HUB) AND type IN {_DIRECT}) + 2 * (SELECT count(*) FROM E l WHERE l.type = 'listens_to' AND l.target_id IN (SELECT target_id FROM E WHERE type = 'emits' AND source_id = (SELECT id FROM HUB))) AS risk,
+ (SELECT count(*) FROM E WHERE target_id = (SELECT id FROM HUB) AND type IN {_DIRECT}) AS n_dependents) SELECT risk::BIGINT AS risk, CASE WHEN risk >= 20 THEN 'CRITICAL' WHEN risk >= 10 THEN 'HIGH' WHEN risk >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS level, n_dependents FROM r"""
 )
 def component_risk(g):
     return score.component_risk(g, hub(g))
 
 
-_RANK = f"{_IMPACT}, rk AS (SELECT id, distance, {_case('N.type', score.RELEVANCE, 3)}::DOUBLE / greatest(1, distance) AS score FROM impact JOIN N USING (id))"
+_RANK = f"{_IMPACT}, rk AS (SELECT id, distance, {_RELEVANCE}::DOUBLE / greatest(1, distance) AS score FROM impact JOIN N USING (id))"
 
 
 @query(f"{_RANK} SELECT id, distance, score FROM rk")
@@ -508,10 +590,11 @@ def context_pack(g, d):
     return score.pack(score.relevance(g, _impact(g)).join(items, "id", "left"))
 
 
-_CLASS = f""", l AS (SELECT source_id AS id, count(*) FILTER (type = 'extends') AS p, count(*) FILTER (type = 'implements') AS i, count(*) FILTER (type = 'uses') AS t FROM E WHERE type IN ('extends', 'implements', 'uses') GROUP BY 1),
- c AS (SELECT N.id, split_part(fqcn, chr(92), -1) AS s, coalesce(p, 0) AS p, coalesce(i, 0) AS i, coalesce(t, 0) AS t FROM N LEFT JOIN l USING (id) WHERE starts_with(N.id, 'class:') AND NOT is_placeholder),
- cr AS (SELECT id, round(least(1.0, (CASE {" ".join(f"WHEN ends_with(s, '{k}') THEN {v}::DOUBLE" for k, v in naming.RISK_SUFFIX.items())} ELSE 0.0::DOUBLE END) + (CASE WHEN p > 0 THEN 0.05::DOUBLE ELSE 0 END) + (CASE WHEN i > 2 THEN 0.1::DOUBLE ELSE 0 END) + (CASE WHEN t > 1 THEN 0.05::DOUBLE ELSE 0 END)), 2) AS risk,
- least(1.0, round(0.3::DOUBLE + 0.05::DOUBLE * i + 0.05::DOUBLE * t + (CASE WHEN p > 0 THEN 0.1::DOUBLE ELSE 0 END), 2)) AS complexity FROM c)"""
+_CLASS = f""", l AS (SELECT source_id AS id, count(*) FILTER (type = 'extends') AS p, count(*) FILTER (type = 'implements') AS i, count(*) FILTER (type = 'uses') AS t, count(*) FILTER (type IN ('injects_readonly', 'injects_mutable', 'injects_factory', 'injects_config', 'has_relation')) AS q,
+ count(*) FILTER (type = 'satisfies_contract' AND coalesce(json_extract_string(CASE WHEN metadata IS NULL OR metadata IN ('', '[]') THEN '{{}}' ELSE metadata END, '$.contractType'), 'service') = 'service') AS k FROM E GROUP BY 1),
+ c AS (SELECT N.id, split_part(fqcn, chr(92), -1) AS s, coalesce(p, 0) AS p, coalesce(i, 0) AS i, coalesce(t, 0) AS t, coalesce(q, 0) AS q, coalesce(k, 0) + CASE WHEN type IN ('payload', 'handler', 'service', 'auth_handler', 'slot_handler') THEN 1 ELSE 0 END AS a FROM N LEFT JOIN l USING (id) WHERE starts_with(N.id, 'class:') AND NOT is_placeholder),
+ cr AS (SELECT id, round(least(1.0, ({_NAME_RISK}) + (CASE WHEN p > 0 THEN 0.05::DOUBLE ELSE 0 END) + (CASE WHEN i > 2 THEN 0.1::DOUBLE ELSE 0 END) + (CASE WHEN t > 1 THEN 0.05::DOUBLE ELSE 0 END) + 0.1::DOUBLE * a), 2) AS risk,
+ least(1.0, round(0.3::DOUBLE + 0.05::DOUBLE * i + 0.05::DOUBLE * t + 0.02::DOUBLE * q + (CASE WHEN p > 0 THEN 0.1::DOUBLE ELSE 0 END), 2)) AS complexity FROM c)"""
 
 
 @query(f"{_CLASS} SELECT * FROM cr")
@@ -597,20 +680,18 @@ def module_of_paths(spark, d):
     return table(spark, d, "graph_file_index").select("path", naming.module_of_path(F.col("path")).alias("module")).distinct()
 
 
-@query("SELECT DISTINCT module, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(module), '{w}')" for w in ws.split()) + f" THEN '{k}'" for k, ws in naming.DOMAIN_WORDS.items()) + " ELSE module END AS domain FROM N WHERE module NOT IN ('', 'App')")
+@query(f"SELECT DISTINCT module, {_DOMAINS} AS domain FROM N WHERE module NOT IN ('', 'App')")
 def domain_inference(g):
     return g.nodes.filter("module NOT IN ('', 'App')").select("module", naming.infer_domain(F.col("module")).alias("domain")).distinct()
 
 
-@query("SELECT '{\"source_id\":' || to_json(source_id) || ',\"target_id\":' || to_json(target_id) || ',\"type\":' || to_json(type) || '}' AS line FROM E")
+@query("SELECT '{\"kind\":\"edge\",\"source_id\":' || to_json(source_id) || ',\"target_id\":' || to_json(target_id) || ',\"type\":' || to_json(type) || '}' AS line FROM E")
 def ndjson_edges(g):
-    return g.edges.select(F.to_json(F.struct("source_id", "target_id", "type")).alias("line"))
+    return render.ndjson(_edge(g.edges), "edge")
 
 
 @query("SELECT '  \"' || replace(replace(source_id, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)) || '\" -> \"' || replace(replace(target_id, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)) || '\" [label=\"' || type || '\"];' AS line FROM E")
 def dot_lines(g):
-    from arbograph.sources import render
-
     return render.dot_edges(g.edges)
 
 

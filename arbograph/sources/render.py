@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbograph.functions import naming
+
 
 def _quoted(col: Column) -> Column:
     """A DOT string: backslashes first, then quotes."""
@@ -17,8 +19,8 @@ def dot_edges(edges: DataFrame) -> DataFrame:
 
 
 def dot_nodes(nodes: DataFrame) -> DataFrame:
-    """(line): the DOT line of each node, labelled by its short name."""
-    return nodes.select(F.concat(F.lit("  "), _quoted(F.col("id")), F.lit(" [label="), _quoted(F.coalesce("name", "id")), F.lit("];")).alias("line"))
+    """(line): the DOT line of each node, labelled by its short name, in its type's colour."""
+    return nodes.select(F.concat(F.lit("  "), _quoted(F.col("id")), F.lit(" [label="), _quoted(F.coalesce("name", "id")), F.lit(", color="), _quoted(naming.colour(F.col("type"))), F.lit("];")).alias("line"))
 
 
 def ndjson(df: DataFrame, kind: str) -> DataFrame:
