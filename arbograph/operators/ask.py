@@ -133,12 +133,25 @@ def intent(graph: Graph, id_: str) -> DataFrame:
     return graph.nodes.join(docs, "id", "left_semi").select("id", "metadata")
 
 
-def capabilities(graph: Graph, kind: str | None = None, prefixes: dict[str, str] | None = None) -> DataFrame:
-    """(name, kind, description, module): the commands of the graph, their kind by the name's prefix; filtered by kind, singular or plural."""
-    name = F.coalesce(F.get_json_object("metadata", "$.commandName"), F.col("fqcn"))
-    kinds = prefixes or {"make:": "generator", "describe:": "introspection", "logs:": "introspection", "deploy:": "operations", "graph:": "graph"}
-    found = graph.of_type("command").select(name.alias("name"), F.coalesce(F.get_json_object("metadata", "$.description"), F.lit("")).alias("description"), "module")
-    found = found.withColumn("kind", F.coalesce(*[F.when(F.col("name").startswith(p), F.lit(k)) for p, k in kinds.items()], F.lit("other")))
-    if kind:
+#: The kind of a command by the start of its name; others are `other`.
+COMMAND_KINDS = {"make:": "generator", "describe:": "introspection", "logs:": "introspection", "deploy:": "operations", "graph:": "graph"}
+
+
+def capabilities(graph: Graph, kind: str | None = None, module: str | None = None, prefixes: dict[str, str] = COMMAND_KINDS, curated: DataFrame | None = None) -> DataFrame:
+    """(name, kind, description, use_when, avoid_when, outputs, follow_up, module): the commands of the graph.
+
+    A field is that of curated(name, ...) where it is there and not empty, else that of the command's CapabilityHint
+    attribute, else that of its own attribute, else empty. kind filters, singular or plural; `all` is no filter.
+    """
+    of = lambda path: F.get_json_object("metadata", path)
+    hint = lambda key: F.coalesce(F.when(of("$.attributes.name").endswith("CapabilityHint"), of(f"$.attributes.args.{key}")), F.lit(""))
+    name = F.coalesce(F.nullif(of("$.commandName"), F.lit("")), F.col("fqcn"))
+    found = graph.of_type("command", module).select(name.alias("name"), F.coalesce(of("$.description"), F.lit("")).alias("description"), hint("useWhen").alias("use_when"), hint("avoidWhen").alias("avoid_when"), hint("outputs").alias("outputs"), hint("followUp").alias("follow_up"), "module")
+    found = found.withColumn("kind", F.coalesce(*[F.when(F.col("name").startswith(p), F.lit(k)) for p, k in prefixes.items()], F.lit("other")))
+    if curated is not None:
+        fields = [c for c in curated.columns if c in found.columns and c not in ("name", "module")]
+        better = curated.select("name", *[F.col(c).alias(f"better_{c}") for c in fields])
+        found = found.join(better, "name", "left").withColumns({c: F.coalesce(F.nullif(F.col(f"better_{c}"), F.lit("")), F.col(c)) for c in fields})
+    if kind and kind != "all":
         found = found.filter((F.col("kind") == kind) | (F.col("kind") == kind.removesuffix("s")))
-    return found.select("name", "kind", "description", "module")
+    return found.select("name", "kind", "description", "use_when", "avoid_when", "outputs", "follow_up", "module")

@@ -63,12 +63,61 @@ def test_answers(spark, folder):
     assert ask.answer(g, "what nats subjects does A\\PaidEvent publish").first().target_id == "subject:app.events.{node}.a.paid"
     assert ask.answer(g, "what are hotspots").count() > 0 and json.loads(ask.answer(g, "show docs for A\\PayHandler").first().metadata)["purpose"] == "HTTP request payload definition"
     assert [tuple(r)[:3] for r in ask.capabilities(g, "generators").collect()] == [("make:pay", "generator", "Pays")] and ask.capabilities(g, "graph").count() == 0
+    better = spark.createDataFrame([("make:pay", "", "Pays at once", "always")], "name string, kind string, description string, use_when string")
+    assert [tuple(r)[:4] for r in ask.capabilities(g, curated=better).collect()] == [("make:pay", "generator", "Pays at once", "always")]
+    assert ask.resolve_event(g, "PaidEvent") == "class:A\\PaidEvent" and ask.resolve_event(g, "nothing") == "class:nothing"
 
 
-@pytest.mark.parametrize("args", [["stats"], ["usages", "A\\PayPayload", "--compact"], ["impact", "A\\PayPayload"], ["search", "Pay", "--format", "ndjson"], ["show", "--type", "payload,handler", "--format", "dot"], ["ask", "what are hotspots"], ["component-impact", "A\\PayPayload"], ["module", "AcmeBilling"]])
-def test_commands(spark, folder, args, capsys):
-    assert cli.main([*args, "--graph", folder], spark) == 0
-    assert capsys.readouterr().out.strip()
+def run(spark, capsys, *args):
+    assert cli.main(list(args), spark) == 0
+    return capsys.readouterr().out
+
+
+@pytest.mark.parametrize(
+    "args,says",
+    [
+        (["stats"], "live_nodes"),
+        (["usages", "A\\PayPayload", "--compact"], "A\\PayHandler  [handles] ×1"),
+        (["usages", "A\\PayPayload"], "A\\PayHandler --[handles]--> A\\PayPayload"),
+        (["usages", "A\\PayPayload", "--format", "markdown"], "| class:A\\PayHandler | class:A\\PayPayload | handles |"),
+        (["impact", "A\\PayPayload"], "Depth 1 (1 nodes)\nA\\PayHandler (handler, AcmeBilling)"),
+        (["impact", "A\\PayPayload", "--context"], "# Context Package"),
+        (["impact", "A\\PayPayload", "--prompt", "refactor", "--goal", "split it"], "to achieve: split it"),
+        (["search", "Pay", "--format", "ndjson"], '"kind":"node"'),
+        (["find", "--type", "command"], "A\\PayCommand (command)"),
+        (["show", "--type", "payload,handler", "--format", "dot"], '[label="PayHandler", color="#2196F3"]'),
+        (["show", "--type", "payload,handler"], "Nodes: 2"),
+        (["show", "--type", "payload,handler", "--format", "markdown"], "| handler | 1 |"),
+        (["ask", "what are hotspots"], "risk"),
+        (["component-impact", "A\\PayPayload"], "LOW"),
+        (["event-trace", "PaidEvent"], "**Emitted by:** `A\\PayHandler`"),
+        (["flow-trace", "Pay"], "PayPayload --> PayHandler"),
+        (["context", "fix the pay handler"], "class:A\\PayHandler"),
+        (["module", "AcmeBilling"], "## Domain: Billing"),
+        (["capabilities"], "make:pay  Pays"),
+        (["capabilities", "--format", "markdown"], "## Generator (1 commands)"),
+        (["intent", "A\\PayHandler"], "**Confidence:** 85%"),
+        (["hotspots"], "risk"),
+        (["doc-gaps"], "points"),
+        (["cross-module", "--format", "json"], "[]"),
+    ],
+)
+def test_commands(spark, folder, args, says, capsys):
+    assert says in run(spark, capsys, *args, "--graph", folder)
+
+
+def test_json_outputs(spark, folder, capsys):
+    get = lambda *args: json.loads(run(spark, capsys, *args, "--graph", folder, "--format", "json"))
+    assert get("usages", "A\\PayPayload", "--compact") == {"anchor": "class:A\\PayPayload", "classes": 1, "related": [{"class": "A\\PayHandler", "kinds": ["handles"], "edges": 1}]}
+    assert get("usages", "A\\PayPayload") == [{"source": "class:A\\PayHandler", "target": "class:A\\PayPayload", "type": "handles", "metadata": {"execution": "sync"}}]
+    impact = get("impact", "A\\PayPayload")
+    assert impact["impacted"] == [{"id": "class:A\\PayHandler", "fqcn": "A\\PayHandler", "type": "handler", "module": "AcmeBilling", "distance": 1}] and (impact["total"], impact["max_depth"], impact["modules"]) == (1, 1, {"AcmeBilling": 1})
+    view = get("show", "--type", "payload,handler")
+    assert view["total_nodes"] == 2 and view["edges"] == [{"sourceId": "class:A\\PayHandler", "targetId": "class:A\\PayPayload", "type": "handles", "metadata": {"execution": "sync"}}] and view["node_types"] == {"handler": 1, "payload": 1}
+    made = get("capabilities", "--type", "generators")
+    assert [c["name"] for c in made["commands"]] == ["make:pay"] and made["project_context"]["route_summary"] == {"GET": 1} and made["project_context"]["event_count"] == 1
+    lines = [json.loads(x) for x in run(spark, capsys, "impact", "A\\PayPayload", "--graph", folder, "--format", "ndjson").splitlines()]
+    assert lines == [{"kind": "summary", "direct": 1, "transitive": 0, "total": 1, "max_depth": 1, "modules": {"AcmeBilling": 1}}, {"kind": "direct", "fqcn": "A\\PayHandler", "type": "handler", "module": "AcmeBilling", "distance": 1, "action": "edit"}]
 
 
 def test_more_rows_than_a_table_shows(spark, capsys):
@@ -77,17 +126,37 @@ def test_more_rows_than_a_table_shows(spark, capsys):
     cli._show(df, "ndjson")
     lines = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
     assert {x["source_id"] for x in lines} == {f"a{i}" for i in range(n)} and len(lines) == n
+    cli._show(df, "json")
+    assert len(json.loads(capsys.readouterr().out)) == n
     cli._show(df, "dot")
     out = capsys.readouterr().out.splitlines()
     assert out[0] == "digraph g {" and out[-1] == "}" and len(set(out[1:-1])) == n == len(out) - 2
     cli._show(df, "markdown")
-    assert "503 more rows are left out" in capsys.readouterr().out
+    assert f"Only the first {cli.SHOWN} rows are shown." in capsys.readouterr().out
     cli._show(df.limit(cli.SHOWN), "markdown")
-    assert "left out" not in capsys.readouterr().out
+    assert "Only the first" not in capsys.readouterr().out
 
 
-def test_generate(spark, tmp_path, capsys):
-    (tmp_path / "t" / "src").mkdir(parents=True)
-    (tmp_path / "t" / "src" / "A.php").write_text("<?php class A extends B {}")
-    assert cli.main(["generate", "--root", str(tmp_path / "t"), "--graph", str(tmp_path / "g")], spark) == 0
-    assert "| nodes | 2 |" in capsys.readouterr().out
+def test_generate_refresh_diff_and_watch(spark, tmp_path, capsys):
+    src = tmp_path / "t" / "src"
+    src.mkdir(parents=True)
+    (src / "A.php").write_text("<?php class A extends B {}")
+    both = ["--root", str(tmp_path / "t"), "--graph", str(tmp_path / "g")]
+    assert "+2/-0 nodes, +1/-0 edges" in run(spark, capsys, "generate", *both) and "up to date" in run(spark, capsys, "generate", *both)
+    first = json.loads(run(spark, capsys, "diff", "--graph", str(tmp_path / "g"), "--format", "json"))
+    assert {(r["kind"], r["name"]): r["delta"] for r in first} == {("nodes", ""): 2, ("edges", ""): 1, ("type", "class"): 2, ("module", "App"): 1}
+    (src / "C.php").write_text("<?php class C extends A {} interface I {}")
+    assert "C --[extends]--> A" in run(spark, capsys, "usages", "A", *both)
+    assert "No" not in run(spark, capsys, "usages", "A", *both, "--no-refresh")
+    again = json.loads(run(spark, capsys, "diff", "--graph", str(tmp_path / "g"), "--format", "json"))
+    assert {(r["kind"], r["name"]): (r["delta"], r["status"]) for r in again} == {("nodes", ""): (2, "changed"), ("edges", ""): (1, "changed"), ("type", "class"): (1, "changed"), ("type", "interface"): (1, "new")}
+    (src / "C.php").unlink()
+    seen = json.loads(run(spark, capsys, "watch", *both, "--rounds", "2", "--interval", "0"))
+    assert seen["files_scanned"] == 1 and seen["nodes_removed"] == 2
+    numbers = json.loads(run(spark, capsys, "stats", "--graph", str(tmp_path / "g"), "--format", "json"))
+    assert (numbers["indexed_files"], numbers["total_nodes"], numbers["live_nodes"], numbers["live_edges"]) == (1, 2, 2, 1)
+    assert json.loads(run(spark, capsys, "generate", *both, "--full", "--format", "json"))["files_scanned"] == 1
+    with pytest.raises(SystemExit):
+        cli.main(["generate", "--root", str(tmp_path / "none"), "--graph", str(tmp_path / "g")], spark)
+    with pytest.raises(SystemExit):
+        cli.main(["impact", "A", "--graph", str(tmp_path / "g"), "--depth", "0"], spark)

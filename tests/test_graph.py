@@ -154,3 +154,7 @@ def test_renderings(spark):
     assert g and render.dot_edges(g.edges).first().line == '  "a\\\\\\"b" -> "c" [label="x"];'
     assert json.loads(render.ndjson(g.edges, "edge").first().line) == {"kind": "edge", "source_id": 'a\\"b', "target_id": "c", "type": "x", "metadata": "{}"}
     assert render.markdown_table(spark.createDataFrame([("a|b", None)], "x string, y int")) == "| x | y |\n|---|---|\n| a\\|b |  |"
+    assert render.dot_nodes(make(spark, [node("class:A", "event")], []).nodes).first().line == '  "class:A" [label="A", color="#F44336"];'
+    assert render.flow_markdown("F", "route:GET:/x", [("class:A\\P", "payload"), ("class:A\\H", "handler")], ["class:A\\E"]).split("```")[1] == 'mermaid\ngraph LR\n    P["P\\n(payload)"]\n    H["H\\n(handler)"]\n    P --> H\n    E{"E"}\n    H -. emit .-> E\n'
+    summary = render.view_summary(make(spark, [node("class:A"), node("class:B", "event", "N")], [("class:A", "class:B", "emits")]), "86400", "1")
+    assert summary.splitlines()[2:] == ["Last generated: 1970-01-02 00:00:00", "Schema version: 1", "", "Nodes: 2", "  class: 1    event: 1", "", "Edges: 1", "  emits: 1", "", "Modules: 2", "  Top: M: 1    N: 1", "", "Cross-module edges: 1", "Orphan nodes: 0", "Placeholder nodes: 0"]
