@@ -31,17 +31,18 @@ def parents(edges: DataFrame, types: tuple[str, ...] = PARENT_TYPES) -> DataFram
     return rows.groupBy(F.col("source_id").alias("id")).agg(F.max_by("target_id", F.struct("indexed_at", "edge_id", "target_id")).alias("parent"))
 
 
-def jump(walk: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """The walks of walk(id, ptr, d, low, path, done) that end, composed to their end, and those that never do.
+def jump(walk: DataFrame, label: str) -> tuple[DataFrame, DataFrame, int]:
+    """The walks of walk(id, ptr, d, low, path, done, at_root) that end, composed to their end; those that never do, and their number.
 
     A walk is done if it ends at ptr; else ptr is the id of the walk that it goes on with. d is its length, low the least
-    id passed, path the ids passed. Each round joins the open walks with all and writes only what it moved.
+    id passed, path the ids passed, at_root whether it ends at a root. Each round joins the open walks with all and writes
+    only what it moved.
     """
     walk, open_n = stored_with(walk, label, ~F.col("done"))
     ended, open_ = [walk.filter("done")], walk.filter("NOT done")
     while open_n:
-        ahead = union([*ended, open_]).select(F.col("id").alias("ptr"), F.col("ptr").alias("p"), F.col("d").alias("pd"), F.col("low").alias("pl"), F.col("path").alias("pp"), F.col("done").alias("pdone"))
-        moved = split_join(open_.drop("done"), ahead, "ptr").select("id", F.col("p").alias("ptr"), (F.col("d") + F.col("pd")).alias("d"), F.least("low", "pl").alias("low"), F.concat("path", "pp").alias("path"), F.col("pdone").alias("done"))
+        ahead = union([*ended, open_]).select(F.col("id").alias("ptr"), F.col("ptr").alias("p"), F.col("d").alias("pd"), F.col("low").alias("pl"), F.col("path").alias("pp"), F.col("done").alias("pdone"), F.col("at_root").alias("proot"))
+        moved = split_join(open_.drop("done", "at_root"), ahead, "ptr").select("id", F.col("p").alias("ptr"), (F.col("d") + F.col("pd")).alias("d"), F.least("low", "pl").alias("low"), F.concat("path", "pp").alias("path"), F.col("pdone").alias("done"), F.col("proot").alias("at_root"))
         moved, left = stored_with(moved, label, ~F.col("done"))
         open_ = moved.filter("NOT done")
         # Along an ending walk every shorter length occurs, so a round in which none ends means that the rest are cycles.
@@ -49,16 +50,19 @@ def jump(walk: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
             break
         ended.append(moved.filter("done"))
         open_n = left
-    return union(ended), open_
+    return union(ended), open_, open_n
 
 
-def _cycles(walk: DataFrame, label: str) -> DataFrame:
-    """Of walks closed under ptr that never end: (id, root = least id on the cycle below which or on which it lies, at = a node of that cycle)."""
-    n = walk.count()
+def _cycles(walk: DataFrame, n: int, label: str) -> DataFrame:
+    """Of n walks closed under ptr that never end: (id, root = least id on the cycle below which or on which it lies, at = a node of that cycle)."""
+
+    def twice(w: DataFrame) -> DataFrame:
+        ahead = w.select(F.col("id").alias("ptr"), F.col("ptr").alias("p"), F.col("low").alias("pl"))
+        return w.join(ahead, "ptr").select("id", F.col("p").alias("ptr"), F.least("low", "pl").alias("low"))
+
     walk = walk.select("id", "ptr", "low")
-    for _ in range(max(1, math.ceil(math.log2(n + 1))) if n else 0):
-        ahead = walk.select(F.col("id").alias("ptr"), F.col("ptr").alias("p"), F.col("low").alias("pl"))
-        walk = stored(walk.join(ahead, "ptr").select("id", F.col("p").alias("ptr"), F.least("low", "pl").alias("low")), label)
+    for _ in range(max(1, math.ceil(math.log2(n + 1) / 2)) if n else 0):
+        walk = stored(twice(twice(walk)), label)
     # After 2^r >= n steps the pointer stands on the cycle, and the low of that node has gone all round.
     on = walk.select(F.col("id").alias("ptr"), F.col("low").alias("root"))
     return walk.join(on, "ptr").select("id", "root", F.col("ptr").alias("at"))
@@ -75,25 +79,35 @@ def resolve(parent: DataFrame, paths: bool = False, split: int = SPLIT) -> DataF
     path = F.array("id") if paths else F.array().cast("array<string>")
     heads = parent.select(F.col("id").alias("ptr"), stop.alias("is_split"))
     walk = split_join(parent.withColumnRenamed("parent", "ptr"), heads, "ptr", "left")
-    # A walk ends at a splitter or at a node without a parent, a root; what ends at a root has `ptr` in no row's id.
-    walk = walk.select("id", "ptr", F.lit(1).cast("long").alias("d"), F.col("id").alias("low"), path.alias("path"), F.coalesce(F.col("is_split"), F.lit(True)).alias("done"))
-    ended, endless = jump(walk, "walks")
-    apart = stored(_cycles(endless, "splitterless").select("id", F.col("root").alias("cycle")), "apart")
-    # Walks end at roots, at splitters that go on in the reduced graph, and at splitters whose own walk never ends.
-    roots = ended.select("ptr").distinct().join(parent.select(F.col("id").alias("ptr")), "ptr", "left_anti").withColumn("cycle", F.lit(None).cast("string"))
-    ends = stored(roots.unionByName(apart.filter(stop).select(F.col("id").alias("ptr"), "cycle")).withColumn("at_end", F.lit(True)), "ends")
-    ended = stored(split_join(ended, ends, "ptr", "left").withColumn("at_end", F.coalesce("at_end", F.lit(False))), "walks")
-    root, known = F.coalesce("cycle", "ptr"), F.col("cycle").isNull()
-    reduced, round_ = jump(ended.filter(stop).select("id", "ptr", "d", "low", "path", F.col("at_end").alias("done")), "reduced")
-    round_ = _cycles(round_, "reduced")
-    last = split_join(reduced, ends.select("ptr", "cycle"), "ptr")
-    solved = last.select(F.col("id").alias("ptr"), root.alias("root"), F.when(known, F.col("d")).otherwise(-1).alias("rest"), F.when(known, F.col("path")).alias("rest_path")).unionByName(round_.select(F.col("id").alias("ptr"), "root", F.lit(-1).cast("long").alias("rest"), F.lit(None).cast("array<string>").alias("rest_path")))
+    # A walk ends at a splitter or at a node without a parent, a root.
+    walk = walk.select("id", "ptr", F.lit(1).cast("long").alias("d"), F.col("id").alias("low"), path.alias("path"), F.coalesce(F.col("is_split"), F.lit(True)).alias("done"), F.col("is_split").isNull().alias("at_root"))
+    ended, endless, n = jump(walk, "walks")
+    none = F.lit(None).cast("string")
+    if n:
+        # Splitters whose own walk never ends are ends to the walks below them, with the cycle that they hang on.
+        apart = stored(_cycles(endless, n, "splitterless").select("id", F.col("root").alias("cycle")), "apart")
+        ended = stored(split_join(ended, apart.filter(stop).select(F.col("id").alias("ptr"), "cycle"), "ptr", "left"), "walks")
+    else:
+        apart, ended = None, ended.withColumn("cycle", none)
+    ended = ended.withColumn("at_end", F.col("at_root") | F.col("cycle").isNotNull())
+    small = ended.filter(stop).select("id", "ptr", "d", "low", "path", F.col("at_end").alias("done"), "at_root")
+    reduced, round_, n = jump(small, "reduced")
+    known = F.col("at_root")
+    # The cycle of an end that is no root is looked up there; a splitter of the reduced graph that ends has its own row.
+    last = reduced.join(apart.withColumnRenamed("id", "ptr"), "ptr", "left") if apart is not None else reduced.withColumn("cycle", none)
+    solved = last.select(F.col("id").alias("ptr"), F.coalesce("cycle", "ptr").alias("root"), F.when(known, F.col("d")).otherwise(-1).alias("rest"), F.when(known, F.col("path")).alias("rest_path"))
+    if n:
+        solved = solved.unionByName(_cycles(round_, n, "reduced").select(F.col("id").alias("ptr"), "root", F.lit(-1).cast("long").alias("rest"), F.lit(None).cast("array<string>").alias("rest_path")))
+    solved = stored(solved, "solved")  # its size decides how it is joined
     whole = F.concat("path", F.array("ptr")) if paths else F.lit(None).cast("array<string>")
     whole_ = F.concat("path", "rest_path", F.array("root")) if paths else F.lit(None).cast("array<string>")
-    straight = ended.filter("at_end").select("id", root.alias("root_id"), F.when(known, F.col("d")).otherwise(-1).alias("depth"), F.when(known, whole).alias("path"))
+    straight = ended.filter("at_end").select("id", F.coalesce("cycle", "ptr").alias("root_id"), F.when(known, F.col("d")).otherwise(-1).alias("depth"), F.when(known, whole).alias("path"))
     through = split_join(ended.filter("NOT at_end").drop("cycle"), solved, "ptr").select("id", F.col("root").alias("root_id"), F.when(F.col("rest") < 0, -1).otherwise(F.col("d") + F.col("rest")).alias("depth"), F.when(F.col("rest") >= 0, whole_).alias("path"))
-    apart = apart.select("id", F.col("cycle").alias("root_id"), F.lit(-1).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("path"))
-    return straight.unionByName(through).unionByName(apart).select("id", "root_id", F.col("depth").cast("int").alias("depth"), "path")
+    out = straight.unionByName(through)
+    if apart is not None:
+        out = out.unionByName(apart.select("id", F.col("cycle").alias("root_id"), F.lit(-1).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("path")))
+    return out.select("id", "root_id", F.col("depth").cast("int").alias("depth"), "path")
+
 
 def tree_nodes(edges: DataFrame) -> DataFrame:
     """(node_id, root_id, depth) for each node with a parent; see resolve()."""
@@ -115,8 +129,8 @@ def cycles(edges: DataFrame) -> DataFrame:
     parent = parents(edges)
     bad = stored(resolve(parent).filter("depth < 0").select("id", F.col("root_id").alias("cycle_id")), "cycles")
     # On a cycle is what is reached again from its least id: the walk of 2^r >= n steps lands on cycle nodes only.
-    own = stored(bad.join(parent, "id").select("id", F.col("parent").alias("ptr"), F.col("id").alias("low"), "cycle_id"), "cycles")
-    landed = _cycles(own, "cycles").select("at").distinct()
+    own, n = stored_with(bad.join(parent, "id").select("id", F.col("parent").alias("ptr"), F.col("id").alias("low"), "cycle_id"), "cycles", F.lit(True))
+    landed = _cycles(own, n, "cycles").select("at").distinct()
     step = own.select(F.col("id").alias("at"), "ptr", "cycle_id").join(landed, "at", "left_semi")
     # Every node of the cycle is the landing place of some node (the map is one-to-one on the cycle).
     return step.select("cycle_id", F.col("at").alias("node_id"))
