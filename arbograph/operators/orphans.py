@@ -22,8 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbograph.operators.hierarchy import jump
-from arbograph.runtime import digest, hashed, is_id, split_join, stored, stored_with, union, width
+from arbograph.runtime import digest, hashed, is_id, size_of, split_join, stored, stored_with, union, width
 
+#: Steps of the fixpoint in one round.
+HOPS = 3
+#: Bytes of arcs of which no key can fill a task.
+SMALL = 64 << 20
 #: Edge types by which a record is a child of the record it names.
 STRUCTURAL = ("extends", "extends_module", "implements")
 _OUT = "part int, is_summary boolean, first boolean, tab byte, row_id long, t long, open long, f1 long, f2 long, l1 long, l2 long, many boolean"
@@ -169,17 +173,23 @@ def rounds(links: DataFrame, broken: DataFrame) -> DataFrame:
     chain = ways.filter("n = 1").select("id", F.col("parent").alias("ptr"))
     goes_on = chain.select(F.col("id").alias("ptr"), F.lit(False).alias("done"))
     none = F.array().cast("array<string>")
-    walk = split_join(chain, goes_on, "ptr", "left").select("id", "ptr", F.lit(1).cast("long").alias("d"), F.col("id").alias("low"), none.alias("path"), F.coalesce("done", F.lit(True)).alias("done"))
-    ended, endless = jump(walk, "chains")
+    walk = split_join(chain, goes_on, "ptr", "left").select("id", "ptr", F.lit(1).cast("long").alias("d"), F.col("id").alias("low"), none.alias("path"), F.coalesce("done", F.lit(True)).alias("done"), F.lit(False).alias("at_root"))
+    ended, endless, _ = jump(walk, "chains")
     ended = stored(ended.select("id", F.col("ptr").alias("top"), "d"), "chains")
     # What hangs on an endless chain alone hangs on a cycle without a broken record.
     several = links.join(ways.filter("n > 1").select("id"), "id", "left_semi").join(endless.select(F.col("id").alias("parent")), "parent", "left_anti")
     over = split_join(several.withColumnRenamed("parent", "ptr"), ended.select(F.col("id").alias("ptr"), "top", "d"), "ptr", "left")
     arcs = stored(over.select("id", F.coalesce("top", "ptr").alias("top"), (F.lit(1) + F.coalesce("d", F.lit(0))).alias("d")).groupBy("id", "top").agg(F.min("d").alias("d")), "arcs")
+    # No key of so few arcs needs to be joined apart.
+    limit = 1 << 62 if size_of(arcs) <= SMALL else None
     fresh, n = stored_with(broken.select("id", F.lit(1).cast("long").alias("round")), "fresh", F.lit(True))
     found = [fresh]
     while n:
-        step = split_join(arcs.withColumnRenamed("id", "child"), fresh.withColumnRenamed("id", "top"), "top").groupBy(F.col("child").alias("id")).agg(F.min(F.col("round") + F.col("d")).alias("round"))
+        # Several steps a round, each folded to one row a record; what they share is one exchange to Spark.
+        steps = [fresh]
+        for _ in range(HOPS):
+            steps.append(split_join(arcs.withColumnRenamed("id", "child"), steps[-1].withColumnRenamed("id", "top"), "top", limit=limit).groupBy(F.col("child").alias("id")).agg(F.min(F.col("round") + F.col("d")).alias("round")))
+        step = union(steps[1:]).groupBy("id").agg(F.min("round").alias("round"))
         before = union(found).groupBy("id").agg(F.min("round").alias("old"))
         fresh, n = stored_with(step.join(before, "id", "left").filter("old IS NULL OR round < old").select("id", "round"), "fresh", F.lit(True))
         found.append(fresh)
