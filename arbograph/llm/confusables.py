@@ -121,6 +121,7 @@ def groups(docs: DataFrame) -> DataFrame:
     f = forms(docs).filter("form IS NOT NULL").filter(F.col("form").rlike(r"\S"))
     rows = stored(f.select("doc_id", digest(F.col("form")).alias("h"), digest(F.col("text")).alias("t")), "forms")
     several = rows.groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a != b").select("h")
+    several = stored(several, "several")  # its size decides how it is joined
     return split_join(rows, several, "h", "left_semi").distinct()
 
 
@@ -134,7 +135,7 @@ def look_alikes(docs: DataFrame, block: int = 1000) -> DataFrame:
     """
     g = stored(groups(docs), "look-alikes")
     texts = stored(g.groupBy("h", "t").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "texts")
-    sizes = texts.groupBy("h").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    sizes = stored(texts.groupBy("h").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "sizes")
     texts = split_join(texts, sizes, "h")
     part = lambda what, n: F.pmod(F.xxhash64(what), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -156,5 +157,5 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_variants): each document of a look-alike group with the group's least doc_id and its number of different texts."""
     g = stored(groups(docs), "look-alikes")
     texts = g.groupBy("h", "t").agg(F.min("doc_id").alias("least"))
-    heads = texts.groupBy("h").agg(F.min("least").alias("class_id"), F.count("*").alias("n_variants"))
+    heads = stored(texts.groupBy("h").agg(F.min("least").alias("class_id"), F.count("*").alias("n_variants")), "heads")
     return split_join(g, heads, "h").select("doc_id", "class_id", "n_variants")
