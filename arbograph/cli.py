@@ -15,7 +15,7 @@ from arbograph.operators import ask, score, traverse
 from arbograph.operators import graph as G
 from arbograph.operators.graph import Graph
 from arbograph.operators.ledger import Ledger
-from arbograph.runtime import stored
+from arbograph.runtime import release, stored
 from arbograph.sources import connect, manifest, prompts, render, scan
 from arbograph.sources.store import GraphStore, open_graph, refresh
 from arbograph.streaming.watch import watch_tree
@@ -121,12 +121,18 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     if o.command in ("generate", "watch"):
         if not o.root or connect.real_path(spark, o.root) is None:
             parser.error(f"{o.command} needs --root, a folder that is there")
-        return (_generate if o.command == "generate" else _watch)(GraphStore(spark, folder), o, ignore)
+        try:
+            return (_generate if o.command == "generate" else _watch)(GraphStore(spark, folder), o, ignore)
+        finally:
+            release(spark)
     is_store = GraphStore.is_store(spark, folder)
     store = GraphStore(spark, folder) if is_store or o.root else None
     if store and not o.no_refresh and o.command in ("usages", "dependencies", "cross-module", "search", "find", "impact") and (failed := refresh(store, o.root, ignore)):
         print(failed, file=sys.stderr)
-    return _answer(open_graph(spark, folder), store, folder, o)
+    try:
+        return _answer(open_graph(spark, folder), store, folder, o)
+    finally:
+        release(spark)
 
 
 def _generate(store: GraphStore, o, ignore) -> int:
@@ -148,6 +154,7 @@ def _watch(store: GraphStore, o, ignore) -> int:
         got = store.full_build(o.root, ignore) if o.full and left[0] == o.rounds else store.update(o.root, ignore)
         if not got.no_changes:
             print(got.to_json(), flush=True)
+        release(store.spark)
         if left[0] is not None:
             left[0] -= 1
 

@@ -42,8 +42,20 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; release() removes what was written to it."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_arbograph_paths", []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what operators wrote to the shared folder in this session so far, for when their results have been read or written; the number of folders.
+
+    Operators cannot do so themselves, as their results are read later. A job that ends gives its folder back as a whole.
+    """
+    paths = spark.sparkContext.__dict__.pop("_arbograph_paths", [])
+    delete(spark, *paths)
+    return len(paths)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

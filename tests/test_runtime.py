@@ -41,3 +41,11 @@ def test_scratch_of_a_cluster_is_not_local(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         runtime.scratch_root(Session())
+
+
+def test_release(spark):
+    df = runtime.stored(spark.range(3), "x")
+    assert df.count() == 3 and runtime.release(spark) >= 1
+    with pytest.raises(Exception):
+        spark.read.parquet(df.inputFiles()[0]).count()
+    assert runtime.release(spark) == 0 and runtime.stored(spark.range(2), "x").count() == 2
