@@ -111,6 +111,11 @@ class Facts:
     def of(self, kind: str) -> DataFrame:
         return self.facts.filter(F.col("kind") == kind)
 
+    def on_classes(self, *names: str) -> DataFrame:
+        """Attributes of classes, with the lines of their class."""
+        spans = self.of("class").select("owner", "file", "line", "end_line")
+        return self.attributes(*names).filter("owner_kind = 'class'").drop("line", "end_line").join(spans, ["owner", "file"])
+
     def attributes(self, *names: str) -> DataFrame:
         return self.of("attr").filter(naming.short_name(F.col("name")).isin(*names)).withColumn("attribute", naming.short_name(F.col("name")))
 
@@ -148,8 +153,7 @@ def _per_class(f: Facts) -> DataFrame:
 
 def attribute_nodes(f: Facts) -> tuple[DataFrame | None, DataFrame | None]:
     """A node for each class with a known attribute, with its metadata and flags."""
-    spans = f.of("class").select("owner", "file", F.col("line").alias("from"), F.col("end_line"))
-    rows = f.attributes(*NODE_ATTRIBUTES).filter("owner_kind = 'class'").drop("end_line").join(spans, ["owner", "file"]).join(_per_class(f), ["owner", "file"]).withColumn("line", F.col("from"))
+    rows = f.on_classes(*NODE_ATTRIBUTES).join(_per_class(f), ["owner", "file"])
     kind = F.create_map(*[F.lit(x) for kv in NODE_ATTRIBUTES.items() for x in kv])[F.col("attribute")]
     rows = rows.withColumn("kind", kind)
     has = lambda name: F.array_contains("has", name)
@@ -181,7 +185,7 @@ def attribute_nodes(f: Facts) -> tuple[DataFrame | None, DataFrame | None]:
 def routes(f: Facts) -> tuple[DataFrame | None, DataFrame | None]:
     """A route for each method of a payload (GET if it states none), served by it."""
     methods = F.coalesce(F.from_json(arg("methods"), "array<string>"), F.array(F.lit("GET")))
-    rows = f.attributes(*PAYLOADS).filter("owner_kind = 'class'").withColumns({"path": F.coalesce(arg("path", "0"), F.lit("")), "methods": methods}).withColumn("method", F.explode("methods"))
+    rows = f.on_classes(*PAYLOADS).withColumns({"path": F.coalesce(arg("path", "0"), F.lit("")), "methods": methods, "end_line": F.col("line")}).withColumn("method", F.explode("methods"))
     id_ = F.concat(F.lit("route:"), F.col("method"), F.lit(":"), F.col("path"))
     return _nodes(rows, id_, "route", F.concat_ws(" ", "method", "path"), _json(F.struct("method", "path"))), _edges(rows, _class_id(), id_, "serves_route")
 
@@ -206,8 +210,8 @@ def attribute_edges(f: Facts) -> tuple[DataFrame | None, DataFrame | None]:
 
 
 def resources(f: Facts) -> tuple[DataFrame | None, DataFrame | None]:
-    """A resource node for what a handler produces, with the handler's file."""
-    rows = f.attributes("AsPayloadHandler").filter("owner_kind = 'class'").withColumn("resource", arg("resource", "1")).filter("resource != ''")
+    """A resource node for what a handler produces, with the handler's file and lines."""
+    rows = f.on_classes("AsPayloadHandler").withColumn("resource", arg("resource", "1")).filter("resource != ''")
     return _nodes(rows, _class_id("resource"), "resource", F.col("resource")), None
 
 
@@ -279,7 +283,7 @@ def domains(f: Facts) -> tuple[DataFrame | None, DataFrame | None]:
 def flows(f: Facts) -> tuple[DataFrame | None, DataFrame | None]:
     """A flow for each payload with a path, with its entry and first step; the payload and its handlers take part."""
     methods = F.coalesce(F.from_json(arg("methods"), "array<string>"), F.array(F.lit("GET")))
-    rows = f.attributes(*PAYLOADS).filter("owner_kind = 'class'").withColumns({"flow": naming.flow_name(F.col("owner")), "entry": F.concat(F.lit("route:"), F.array_join(methods, ","), F.lit(":"), arg("path", "0"))}).filter(arg("path", "0") != "")
+    rows = f.on_classes(*PAYLOADS).withColumns({"flow": naming.flow_name(F.col("owner")), "entry": F.concat(F.lit("route:"), F.array_join(methods, ","), F.lit(":"), arg("path", "0"))}).filter(arg("path", "0") != "")
     handlers = f.attributes("AsPayloadHandler").filter("owner_kind = 'class'").withColumn("payload", arg("payload", "0")).filter("payload != ''").withColumn("flow", naming.flow_name(F.col("payload")))
     id_ = F.concat(F.lit("flow:"), F.col("flow"))
     steps = F.array(F.struct(F.lit(1).alias("order"), _class_id().alias("node"), F.lit("payload").alias("role")))
@@ -291,11 +295,11 @@ def flows(f: Facts) -> tuple[DataFrame | None, DataFrame | None]:
 
 def subjects(f: Facts, prefix: str = SUBJECT_PREFIX) -> tuple[DataFrame | None, DataFrame | None]:
     """A subject for each propagated event, by its domain and its name in snake case; the aggregate that it belongs to; the subjects of aggregates' commands."""
-    rows = f.attributes("Propagated").filter("owner_kind = 'class'").withColumns({"domain": F.coalesce(arg("domain", "0"), naming.event_domain(F.col("owner"))), "event_type": naming.snake_case(F.regexp_replace(naming.short_name(F.col("owner")), "(Event|Payload)$", ""))})
+    rows = f.on_classes("Propagated").withColumns({"domain": F.coalesce(arg("domain", "0"), naming.event_domain(F.col("owner"))), "event_type": naming.snake_case(F.regexp_replace(naming.short_name(F.col("owner")), "(Event|Payload)$", ""))})
     rows = rows.withColumn("pattern", F.concat_ws(".", F.lit(f"{prefix}.events.{{node}}"), "domain", "event_type"))
     id_ = F.concat(F.lit("subject:"), F.col("pattern"))
     metadata = _json(F.struct("pattern", "domain", "event_type", F.lit(True).alias("wildcard"), F.lit("EVENTS").alias("stream")))
-    owned = f.attributes("OwnedAggregate").filter("owner_kind = 'class'").join(rows.select("owner", "file").distinct(), ["owner", "file"], "left_semi").withColumns({"aggregate": arg("type", "0"), "creates": F.coalesce(arg("creates"), F.lit("false")) == "true"}).filter("aggregate != ''")
+    owned = f.on_classes("OwnedAggregate").join(rows.select("owner", "file").distinct(), ["owner", "file"], "left_semi").withColumns({"aggregate": arg("type", "0"), "creates": F.coalesce(arg("creates"), F.lit("false")) == "true"}).filter("aggregate != ''")
     of = F.concat(F.lit("aggregate:"), F.col("aggregate"))
     aggregate = _json(F.struct(F.col("aggregate").alias("aggregate_type"), arg("idField", "1").alias("id_field"), F.when(F.col("creates"), F.col("owner")).alias("creates_event")))
     commands = f.attributes("AsAggregateCommand").filter("owner_kind = 'class'").withColumn("aggregate", arg("aggregateType", "subject", "0")).filter("aggregate != ''")

@@ -94,6 +94,70 @@ def test_extract(spark, tmp_path):
     assert back[0].count() == len(nodes) and back[1].count() == len(edges)
 
 
+def test_the_whole_graph_of_two_files(spark):
+    """Every node and edge, literally."""
+    rows = [("packages/acme-billing/src/P.php", PAYLOAD), ("packages/acme-billing/src/H.php", HANDLER)]
+    g = extract.extract(facts.file_facts(spark.createDataFrame(rows, "file string, content string")))
+    o, p, h = "class:Acme\\Order\\", "P.php", "H.php"
+    subject = "subject:app.events.{node}.order.order_made"
+    assert {(r.id, r.type, r.file.rpartition("/")[2], r.line, r.end_line) for r in g.nodes.filter("NOT is_placeholder").collect()} == {
+        (o + "MakeOrderPayload", "payload", p, 10, 23), (o + "MakeOrderHandler", "handler", h, 5, 5), (o + "Res", "resource", h, 5, 5), (o + "OrderMadeEvent", "event", h, 6, 6), (o + "Kind", "enum", h, 7, 7),
+        ("route:GET:/x", "route", p, 10, 10), ("route:POST:/x", "route", p, 10, 10), ("domain:Billing", "domain_context", h, 1, 1), ("flow:MakeOrderFlow", "execution_flow", p, 10, 23), (subject, "nats_subject", h, 6, 6),
+        ("doc:" + o + "MakeOrderPayload", "doc_node", p, 1, 1), ("doc:" + o + "MakeOrderHandler", "doc_node", h, 1, 1), ("doc:" + o + "OrderMadeEvent", "doc_node", h, 1, 1),
+    }
+    assert {(r.id, r.fqcn, r.name, r.type) for r in g.nodes.filter("is_placeholder").collect()} == {(i, i.partition(":")[2], i.partition(":")[2].rpartition("\\")[2], "class") for i in ("class:Acme\\Core\\Bus", "class:Acme\\Core\\Event", o + "Base", o + "Countable", o + "Done", o + "Other", o + "Shared", "class:Countable", "class:Lib\\Thing", "config:limit", "permission:order.make", "unknown:untyped")}
+    pay, han, eve, kind = (o + x for x in ("MakeOrderPayload", "MakeOrderHandler", "OrderMadeEvent", "Kind"))
+    expected = {
+        (kind, o + "Countable", "implements", "{}"), (kind, "domain:Billing", "belongs_to_domain", "{}"),
+        (han, pay, "handles", '{"execution":"sync"}'), (han, o + "Res", "produces", "{}"), (han, "doc:" + han, "intent_for", '{"confidence":0.85}'), (han, "domain:Billing", "belongs_to_domain", "{}"), (han, "flow:MakeOrderFlow", "participates_in_flow", '{"role":"handler","execution":"sync"}'),
+        (pay, "class:Acme\\Core\\Bus", "imports", "{}"), (pay, "class:Acme\\Core\\Event", "imports", "{}"), (pay, "class:Lib\\Thing", "imports", "{}"), (pay, "class:Acme\\Core\\Bus", "injects_readonly", '{"property":"bus"}'), (pay, "class:Acme\\Core\\Event", "accepts", '{"param":"e"}'),
+        (pay, o + "Base", "extends", "{}"), (pay, "class:Countable", "implements", "{}"), (pay, "class:Lib\\Thing", "implements", "{}"), (pay, o + "Done", "emits", "{}"), (pay, o + "Done", "instantiates", "{}"), (pay, o + "Other", "instantiates", "{}"), (pay, "class:Lib\\Thing", "instantiates", "{}"),
+        (pay, "class:Lib\\Thing", "returns", "{}"), (pay, o + "Shared", "uses", "{}"), (pay, o + "Shared", "composed_of", "{}"), (pay, "config:limit", "injects_config", '{"property":"n"}'), (pay, "unknown:untyped", "injects_mutable", '{"property":"untyped"}'),
+        (pay, "doc:" + pay, "intent_for", '{"confidence":0.85}'), (pay, "domain:Billing", "belongs_to_domain", "{}"), (pay, "flow:MakeOrderFlow", "participates_in_flow", '{"role":"entry"}'), (pay, "permission:order.make", "requires_permission", '{"slug":"order.make"}'), (pay, "route:GET:/x", "serves_route", "{}"), (pay, "route:POST:/x", "serves_route", "{}"),
+        (eve, "doc:" + eve, "intent_for", '{"confidence":0.85}'), (eve, "domain:Billing", "belongs_to_domain", "{}"), (eve, subject, "publishes_to", '{"domain":"order","event_type":"order_made"}'),
+    }
+    assert set(map(tuple, g.edges.collect())) == expected and g.edges.count() == len(expected)
+
+
+ATTRIBUTES = r"""<?php
+namespace Shop\Auth\Event;
+
+#[AsEventListener(event: PaidEvent::class, execution: 'queued')] class OnPaid {}
+#[AsService] #[SatisfiesServiceContract(of: PayContract::class)] class PayService extends Kit implements A, B, C, D { use T, U, V; }
+#[FromTable('bills')] #[SoftDelete] #[TenantScoped] class BillEntity { #[HasMany(target: Line::class)] private array $lines; #[BelongsTo] private User $user; }
+#[AsAuthHandler(priority: 7)] #[AsPublicPayload(path: '/in')] class LoginHandler {}
+#[AsSlotHandler('head')] #[AsLayoutSlot] #[AsDeferred] class HeadSlot {}
+#[AsScheduledJob(cron: '* * * * *')] class Nightly {}
+#[AsPipelineListener] #[AsServerLifecycleListener] class Warm {}
+#[AsCommand(name: 'make:bill', description: 'Bills')] #[CapabilityHint(useWhen: 'billing')] class MakeBill {}
+#[Propagated(domain: 'pay')] #[OwnedAggregate(type: 'bill', idField: 'id', creates: true)] class PaidEvent {}
+#[AsAggregateCommand(aggregateType: 'bill', aggregateIdField: 'id')] class PayBill {}
+#[TenantIsolated] #[AsTenantLayerStrategy] class Layered {}
+"""
+
+
+def test_metadata_and_flags(spark):
+    g = extract.extract(facts.file_facts(spark.createDataFrame([("packages/shop/src/All.php", ATTRIBUTES)], "file string, content string")))
+    node = {r.id.rpartition("\\")[2]: (r.type, json.loads(r.metadata)) for r in g.nodes.filter("NOT is_placeholder AND (id LIKE 'class:%' OR id LIKE 'hotspot:%')").collect() if r.id.startswith("class:")}
+    assert node["OnPaid"] == ("event_listener", {"eventClass": "Shop\\Auth\\Event\\PaidEvent", "executionMode": "queued"})
+    assert node["PayService"] == ("service", {"scope": "worker"}) and node["BillEntity"] == ("entity", {"table": "bills", "softDelete": True})
+    assert node["HeadSlot"] == ("slot_handler", {"slot": "head", "deferred": True}) and node["Nightly"] == ("job", {"cron": "* * * * *"}) and node["Warm"] == ("pipeline_phase", {"phase": "default", "lifecycleHook": True})
+    assert node["MakeBill"] == ("command", {"commandName": "make:bill", "description": "Bills", "attributes": {"name": "Shop\\Auth\\Event\\CapabilityHint", "args": {"useWhen": "billing"}, "target": "class"}})
+    assert node["LoginHandler"][1]["priority"] == 7 and node["LoginHandler"][1]["accessType"] == "public" and node["Layered"] == ("class", {})
+    edges = {(r.source_id.rpartition("\\")[2], r.type, r.target_id.rpartition("\\")[2]): json.loads(r.metadata) for r in g.edges.collect()}
+    assert edges["BillEntity", "has_relation", "Line"] == {"property": "lines", "relationType": "hasMany"} and ("BillEntity", "has_relation", "User") not in edges
+    assert edges["BillEntity", "tenant_isolated", "constraint:tenant"] == {} and edges["Layered", "tenant_isolated", "constraint:default"] == {"constraint": "default"} and edges["HeadSlot", "renders_slot", "slot:head"] == {"layout": True}
+    assert edges["PayService", "satisfies_contract", "PayContract"] == {"contractType": "service"} and edges["LoginHandler", "authenticates", "auth:handler"] == {} and edges["Warm", "pipeline_phase", "pipeline:default"] == {"phase": "default"}
+    assert edges["PaidEvent", "is_aggregate_of", "aggregate:bill"] == {"role": "creation_event"} and edges["PayBill", "routes_command_to", "subject:app.commands.bill.{ownerNode}"] == {"aggregate_type": "bill", "id_field": "id"}
+    assert edges["PaidEvent", "publishes_to", "subject:app.events.{node}.pay.paid"] == {"domain": "pay", "event_type": "paid"}
+    all_ = {r.id: json.loads(r.metadata) for r in g.nodes.filter("NOT is_placeholder").collect()}
+    spot = all_["hotspot:Shop\\Auth\\Event\\PayService"]
+    # 0.15 for the ending, 0.05 for the parent, 0.1 for four interfaces, 0.05 for three traits, 0.1 for each of two attributes.
+    assert (spot["risk_score"], spot["complexity_score"], spot["incoming_edges"], spot["recommendation"]) == (0.55, 0.75, 8, "High trait usage — consider composition over inheritance")
+    assert all_["doc:class:Shop\\Auth\\Event\\OnPaid"]["purpose"] == "Domain event" and all_["doc:class:Shop\\Auth\\Event\\PayService"] == {"target_node_id": "class:Shop\\Auth\\Event\\PayService", "purpose": "Service contract interface", "responsibilities": ["Define service interface", "Enable dependency inversion", "Allow multiple implementations"], "inferred_from": ["class_name_suffix", "SatisfiesServiceContract_attribute"], "confidence": 0.8, "source": "inference"}
+    assert all_["domain:Shop"]["key_entities"] == ["BillEntity"] and all_["domain:Shop"]["criticality"] == "high" and all_["aggregate:bill"] == {"aggregate_type": "bill", "id_field": "id", "creates_event": "Shop\\Auth\\Event\\PaidEvent"}
+
+
 def test_extract_nothing(spark):
     none = spark.createDataFrame([("a.php", None), (None, "<?php"), ("b.php", "")], "file string, content string")
     g = extract.extract(facts.file_facts(none))
