@@ -162,7 +162,9 @@ def rounds(links: DataFrame, broken: DataFrame) -> DataFrame:
     broken, has several parents, or has none. Only between the records with several parents, the semi-joins of the
     fixpoint are iterated, with the lengths of the chains between them, as long as a round finds a shorter way.
     """
-    links = stored(links, "links")
+    # A parent that is neither broken nor a child of any can't break: links to such roots say nothing.
+    live = stored(links.select(F.col("id").alias("parent")).unionByName(broken.select(F.col("id").alias("parent"))).distinct(), "live")
+    links = stored(split_join(links, live, "parent", "left_semi"), "links")
     firsts = broken.select("id", F.lit(True).alias("broken"))
     ways = links.groupBy("id").agg(F.count("*").alias("n"), F.min("parent").alias("parent")).join(firsts, "id", "left").filter("broken IS NULL")
     ways = stored(ways.select("id", "n", "parent"), "ways")
