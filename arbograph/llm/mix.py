@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbograph.llm.parse import spread
 from arbograph.llm.tokenize import RANKS, token_counts
 from arbograph.runtime import stored
 
@@ -121,8 +122,9 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 1, total_tokens: in
     of a null source stay out. A null or negative share or max_repeats counts as 0. Repeated rows of a doc_id are documents each.
     """
     wanted = targets.filter("source IS NOT NULL").groupBy("source").agg(F.greatest(F.coalesce(F.max("target_share"), F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce(F.max("max_repeats"), F.lit(0)), F.lit(0)).alias("max_repeats"))
-    known = docs.filter("source IS NOT NULL").select("doc_id", "text", "source").join(F.broadcast(wanted.select("source")), "source", "left_semi")  # a row per source of the control table
-    counted = stored(token_counts(known, path, ("source",)).filter("n_tokens > 0").withColumn("h", F.xxhash64("doc_id", F.lit(seed))), "counted")
+    # Spread before the join: asking a plan with a broadcast for its partitions would run it.
+    known = spread(docs.filter("source IS NOT NULL").select("doc_id", "text", "source")).join(F.broadcast(wanted.select("source")), "source", "left_semi")  # a row per source of the control table
+    counted = stored(token_counts(known, path, ("source",), spread_out=True).filter("n_tokens > 0").withColumn("h", F.xxhash64("doc_id", F.lit(seed))), "counted")
     by_length = counted.groupBy("source", "n_tokens").agg(F.count("*").alias("n"))
     if total_tokens is None:
         total_tokens = counted.agg(F.sum("n_tokens")).first()[0] or 0

@@ -113,12 +113,12 @@ def token_ids(docs: DataFrame, path: str = RANKS) -> DataFrame:
     return spread(rows).mapInArrow(_encoded(path, False), "doc_id long, ids array<int>")
 
 
-def token_counts(docs: DataFrame, path: str = RANKS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_tokens, ...keep), n_tokens as long as token_ids()'s lists."""
+def token_counts(docs: DataFrame, path: str = RANKS, keep: tuple[str, ...] = (), spread_out: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ...keep), n_tokens as long as token_ids()'s lists. docs that are spread out already stay where they are."""
     struct = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *keep)
     rows = docs.select(struct.alias("doc_id"), "text")
     kinds = rows.schema["doc_id"].dataType.simpleString()
-    return spread(rows).mapInArrow(_encoded(path, True), f"doc_id {kinds}, n_tokens long").select("doc_id.*", "n_tokens")
+    return (rows if spread_out else spread(rows)).mapInArrow(_encoded(path, True), f"doc_id {kinds}, n_tokens long").select("doc_id.*", "n_tokens")
 
 
 def _round_trip(path: str):
