@@ -107,6 +107,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--prompt", default=None, choices=list(prompts.PROMPTS), help="impact: a prompt over the packed context")
     parser.add_argument("--goal", default="")
     parser.add_argument("--vendor", default="")
+    parser.add_argument("--include-code", action="store_true", help="event-trace, flow-trace: the files of the members too")
     parser.add_argument("--interval", type=int, default=2)
     parser.add_argument("--rounds", type=int, default=None, help="watch: ends after so many looks")
     parser.add_argument("--format", default="text", choices=["text", "summary", "markdown", "json", "ndjson", "dot", "old"])
@@ -217,6 +218,8 @@ def _answer(g: Graph, store: GraphStore | None, folder: str, o) -> int:
             print(render.lifecycle_markdown(event.partition(":")[2] or event, rows.collect()))
         else:
             _show(rows, form)
+        if o.include_code:
+            _show(_files(g, rows), form, kind="file")
     elif o.command == "flow-trace":
         _flow(g, o)
     elif o.command == "context":
@@ -272,8 +275,15 @@ def _impact(g: Graph, own: str, start: DataFrame, o) -> None:
         _show(score.edge_breakdown(reached, o.vendor).orderBy(F.desc("n"), "type"), "markdown")
 
 
+def _files(g: Graph, members: DataFrame) -> DataFrame:
+    """(id, file, line, end_line) of members(id) that have a file."""
+    return g.nodes.join(members.select("id").distinct(), "id", "left_semi").filter("file != ''").select("id", "file", "line", "end_line").orderBy("id")
+
+
 def _flow(g: Graph, o) -> None:
     found = ask.flow(g, o.subject)
+    if o.include_code:
+        _show(_files(g, found), o.format, kind="file")
     if o.format in ("text", "summary", "markdown"):
         rows = sorted(found.collect(), key=lambda r: (r.type != "payload", r.id))  # the members of one flow
         if not rows:
@@ -296,7 +306,10 @@ def _module(g: Graph, module: str, form: str) -> None:
             print(render.domain_markdown(domain))
     events = g.of_type("event", module).select(F.col("id").alias("event_id")).join(g.lifecycles(), "event_id", "left")
     spots = score.stored_hotspots(g, 20).filter(F.col("module") == module).select("node_id", "risk", "level")
-    parts = [("summary", g.overview(("class", "event", "handler", "service", "route")).filter(F.col("module") == module)), ("flows", ask.flows_of_module(g, module)), ("events", events), ("hotspots", spots), ("cross_module", g.cross_module(module).select("source_id", "target_id", "type"))]
+    crossing = g.cross_module(module)
+    outside = crossing.filter(~F.col("target_id").startswith("module:") & ~F.col("target_id").startswith("class:")).groupBy(F.col("source_module").alias("module")).agg(F.count("*").alias("external"))
+    summary = g.overview(("class", "event", "handler", "service", "route")).filter(F.col("module") == module).join(outside, "module", "left").withColumn("external", F.coalesce("external", F.lit(0)))
+    parts = [("summary", summary), ("flows", ask.flows_of_module(g, module)), ("events", events), ("hotspots", spots), ("cross_module", crossing.select("source_id", "target_id", "type"))]
     for kind, df in parts:
         if form in ("text", "summary", "markdown"):
             print(f"\n## {kind}\n")

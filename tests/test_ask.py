@@ -92,6 +92,9 @@ def run(spark, capsys, *args):
         (["component-impact", "A\\PayPayload"], "LOW"),
         (["event-trace", "PaidEvent"], "**Emitted by:** `A\\PayHandler`"),
         (["flow-trace", "Pay"], "PayPayload --> PayHandler"),
+        (["event-trace", "PaidEvent", "--include-code"], "packages/acme-billing/src/H.php"),
+        (["flow-trace", "Pay", "--include-code", "--format", "ndjson"], '"file":"packages/acme-billing/src/P.php"'),
+        (["module", "AcmeBilling", "--format", "ndjson"], '"external":0'),
         (["context", "fix the pay handler"], "class:A\\PayHandler"),
         (["module", "AcmeBilling"], "## Domain: Billing"),
         (["capabilities"], "make:pay  Pays"),
